@@ -5,6 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from skein.llm.bpe import bpe_round_trip
+from skein.llm.exact_dedup import exact_groups
 from skein.llm.token_counts import token_counts
 
 TOKEN_LIMIT = 512
@@ -14,12 +16,33 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_groups(read(spark, sf_dir, "documents"))
+
+
+def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_round_trip(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), TOKEN_LIMIT)
 
 
 QUERIES = {
+    "op3_exact_dedup": op3_exact_dedup,
+    "op6_byte_bpe": op6_byte_bpe,
     "op7_token_counts": op7_token_counts,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {
+    "op3_exact_dedup": r"""
+        WITH d AS (
+            SELECT doc_id, length(coalesce(text, '')) AS cp, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS norm FROM documents
+        ), g AS (
+            SELECT norm, count(*) AS group_size, max(cp) AS most FROM d GROUP BY norm
+        ), k AS (
+            SELECT norm, min(doc_id) AS keep_id FROM d JOIN g USING (norm) WHERE cp = most GROUP BY norm
+        )
+        SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(norm) AS text_sha256 FROM d JOIN g USING (norm) JOIN k USING (norm)
+    """,
+}
