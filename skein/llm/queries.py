@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from skein.llm.bpe import bpe_round_trip
 from skein.llm.exact_dedup import exact_groups
+from skein.llm.html_extract import extract_pages
 from skein.llm.token_counts import token_counts
+from skein.llm.warc import archive_round_trip
 
 TOKEN_LIMIT = 512
 
@@ -20,6 +23,14 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(read(spark, sf_dir, "documents"))
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    captures = archive_round_trip(read(spark, sf_dir, "pages"))
+    return captures.select(
+        F.col("id").alias("page_id"), F.col("n").alias("payload_bytes"), F.col("digest").alias("payload_digest"), F.col("kind").alias("record_type"), F.col("refers").alias("refers_to"),
+        F.col("key").alias("url_key"), F.col("time").alias("captured_at"),
+    )
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_round_trip(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -28,10 +39,16 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), TOKEN_LIMIT)
 
 
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_pages(read(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     "op3_exact_dedup": op3_exact_dedup,
+    "op4_warc": op4_warc,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_token_counts": op7_token_counts,
+    "op8_html_extraction": op8_html_extraction,
 }
 
 ORACLE_SQL = {
