@@ -7,9 +7,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.llm.bpe import bpe_round_trip
+from skein.llm.decontamination import contaminated
 from skein.llm.exact_dedup import exact_groups
 from skein.llm.html_extract import extract_pages
+from skein.llm.near_dedup import near_groups
 from skein.llm.token_counts import token_counts
+from skein.llm.toxicity import score, train
 from skein.llm.warc import archive_round_trip
 
 TOKEN_LIMIT = 512
@@ -19,6 +22,11 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return score(docs, train(docs, read(spark, sf_dir, "labels")))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(read(spark, sf_dir, "documents"))
 
@@ -31,6 +39,10 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_groups(read(spark, sf_dir, "documents"))
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_round_trip(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -43,12 +55,19 @@ def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_pages(read(spark, sf_dir, "pages"))
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_warc": op4_warc,
+    "op5_near_dedup": op5_near_dedup,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_token_counts": op7_token_counts,
     "op8_html_extraction": op8_html_extraction,
+    "op9_decontamination": op9_decontamination,
 }
 
 ORACLE_SQL = {
