@@ -11,11 +11,14 @@ from skein.llm.decontamination import contaminated
 from skein.llm.exact_dedup import exact_groups
 from skein.llm.html_extract import extract_pages
 from skein.llm.near_dedup import near_groups
+from skein.llm.suffix_dedup import remove_repeats
 from skein.llm.token_counts import token_counts
+from skein.llm.token_store import store_round_trip
 from skein.llm.toxicity import score, train
 from skein.llm.warc import archive_round_trip
 
 TOKEN_LIMIT = 512
+END_ID = 2
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -27,6 +30,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, train(docs, read(spark, sf_dir, "labels")))
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(read(spark, sf_dir, "documents"))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(read(spark, sf_dir, "documents"))
 
@@ -59,8 +66,13 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return store_round_trip(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), END_ID)
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
+    "op2_suffix_dedup": op2_suffix_dedup,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_warc": op4_warc,
     "op5_near_dedup": op5_near_dedup,
@@ -68,6 +80,7 @@ QUERIES = {
     "op7_token_counts": op7_token_counts,
     "op8_html_extraction": op8_html_extraction,
     "op9_decontamination": op9_decontamination,
+    "op10_token_store": op10_token_store,
 }
 
 ORACLE_SQL = {
