@@ -1,14 +1,56 @@
-"""A corpus pipeline out of operators of skein.llm: each stage works on all that its predecessor kept."""
+"""A corpus pipeline out of operators of skein.llm: each stage works on all that its predecessor kept.
+
+Toxic documents go, then exact copies, near copies and documents that hold a benchmark passage; what is left is encoded.
+All stages but the last return the columns of documents, extra ones included.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list = []
-#: Stages that score, sketch or tokenise have no SQL; tests hold the pipeline against a brute-force version.
+from skein.llm.bpe import bpe_round_trip
+from skein.llm.decontamination import drop_contaminated
+from skein.llm.exact_dedup import drop_copies
+from skein.llm.near_dedup import drop_near_copies
+from skein.llm.storage import materialise
+from skein.llm.toxicity import keep_clean
+
+
+def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return keep_clean(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return drop_copies(docs)
+
+
+def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return drop_near_copies(docs)
+
+
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return bpe_round_trip(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+STAGES = [
+    ("toxicity", without_toxic),
+    ("exact_dedup", without_copies),
+    ("near_dedup", without_near_copies),
+    ("decontamination", without_benchmark),
+    ("byte_bpe", encoded),
+]
+#: Stages that score, sketch and tokenise have no SQL; tests hold the pipeline against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages one after another over documents, each written as Parquet and reread by the next."""
-    raise NotImplementedError
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = materialise(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -24,6 +24,7 @@ from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -208,5 +209,9 @@ def locate(docs: DataFrame, model: Model, least: float = 0.5, id_col: str = "doc
 def keep_clean(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents that the model does not reject, with all their columns; the text decides, row by row."""
     model = train(docs, labels, id_col, text_col)
-    verdict = F.pandas_udf(lambda texts: texts.map(lambda t: model.document(t or "") >= THRESHOLD), "boolean")
-    return docs.where(~verdict(F.col(text_col)))
+
+    @F.pandas_udf("boolean")
+    def rejected(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: model.document(t or "") >= THRESHOLD)
+
+    return docs.where(~rejected(F.col(text_col)))
