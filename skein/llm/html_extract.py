@@ -52,6 +52,8 @@ BAD_NAMES = {
 }
 GOOD_NAMES = {"article", "content", "entry", "main", "post", "story", "text", "body"}
 BAD_NAME, GOOD_NAME, HIDDEN = -8.0, 1.5, -12.0
+#: An element with such a score or less is no part of the article around it.
+FOREIGN = -3.0
 BIAS, PER_WORD, MOST_FOR_WORDS, SENTENCE, LINKS = -0.5, 0.05, 2.0, 0.75, -4.0
 # Smoothness: between neighbours, and by steps through the tree to the next block; nothing beyond FAR steps.
 NEIGHBOUR, PROXIMITY, FAR = 0.25, 1.0, 6
@@ -156,6 +158,11 @@ def blocks_of(html: str) -> list[tuple[str, float, tuple[int, ...]]]:
                 close_in({"head"}, set())
             own = _score_of(tag, m[3] or "")
             above = stack[-1][2] if stack else 0.0
+            if own is not None and above is not None:
+                if tag == "header" and any(x[0] in ("article", "main") for x in stack):
+                    own -= LANDMARK[tag]  # an article's own heading
+                if own <= FOREIGN:
+                    above = min(above, 0.0)  # what stands in an article need not belong to it
             number += 1
             stack.append((tag, number, None if own is None or above is None else above + own))
             links += tag == "a"

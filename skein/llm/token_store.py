@@ -73,6 +73,7 @@ class Table:
 
     def write(self, path: str) -> None:
         system, where = fs.FileSystem.from_uri(path)
+        system.create_dir(where.rsplit("/", 1)[0], recursive=True)
         with system.open_output_stream(where, compression=None) as out:
             out.write(zlib.compress(json.dumps({"symbols": self.symbols, "frequencies": self.frequencies, "scale": SCALE, "checksum": self.checksum}).encode()))
 
@@ -270,7 +271,8 @@ def write_store(docs: DataFrame, folder: str, tokenizer: str, end_id: int, id_co
 
     todo = parts.where("id = -1").select("part", "path").repartition(max(1, len(ranges)), "part")
     coded = materialise(todo.mapInArrow(code, "part long, path string"), "files")
-    remove(spark, f"{folder}/scratch")
+    if ranges:
+        remove(spark, f"{folder}/scratch")
     names = {r.part: r.path for r in coded.toLocalIterator()}
     files, base = [], 0
     for part, _, n in ranges:

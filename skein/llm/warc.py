@@ -80,7 +80,7 @@ def _record_id(capture: str) -> str:
     return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, 'capture:' + capture)}>"
 
 
-def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least: int = 0) -> DataFrame:
+def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least: int = 0, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
     """Write the archives; returns their paths. Payloads of at least `least` bytes are deduplicated."""
     payload = F.coalesce(F.col(payload_col), F.lit("")).cast("binary")
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(url_col), F.lit("")).alias("url"), payload.alias("payload"))
@@ -113,7 +113,7 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
                 refers = None if original is None else (_record_id(str(original)), str(original))
                 out.write(_member(record("response" if refers is None else "revisit", _record_id(capture), url, date, sha1_base32(payload), payload, refers, capture)))
                 size += len(payload)
-                if size >= ARCHIVE_BYTES:
+                if size >= archive_bytes:
                     finish()
                     out = None
         if out is not None:
