@@ -12,12 +12,12 @@ from dataclasses import dataclass
 from pathlib import Path
 
 import pyarrow as pa
-from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skein.errors import SkeinError
 from skein.operators.events import parsed, string_at
+from skein.sources.files import file_system
 
 FILES = "path string, storage string, size long, modified string"
 LINES = "path string, storage string, n long, raw string"
@@ -96,7 +96,7 @@ def _python_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path in batch.column(0).to_pylist():
-                system, where = fs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
+                system, where = file_system(path)
                 with system.open_input_stream(where) as f:
                     lines = f.read().decode("utf-8", "replace").replace("\r\n", "\n").replace("\r", "\n").split("\n")
                 lines = lines[:-1] if lines and not lines[-1] else lines
