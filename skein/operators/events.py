@@ -19,8 +19,8 @@ def parsed(lines: DataFrame, raw: str = "raw") -> DataFrame:
     held = lines.where(~F.regexp_like(F.col(raw), F.lit(rf"\A{SPACE}*\z")))
     wrapped = F.try_parse_json(F.concat(F.lit('{"v":'), F.col(raw), F.lit("}")))
     listed = F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), F.col(raw), F.lit("]"))), "$", "array<variant>")
-    ok = F.coalesce(wrapped.isNotNull() & (F.size(listed) == 1), F.lit(False))
-    return held.withColumn("ok", ok).withColumn("v", F.when(F.col("ok"), F.try_parse_json(F.col(raw))))
+    ok = F.coalesce(F.col("w").isNotNull() & (F.size(listed) == 1), F.lit(False))
+    return held.withColumn("w", wrapped).withColumn("ok", ok).withColumn("v", F.when(F.col("ok"), F.try_variant_get("w", "$.v", "variant"))).drop("w")
 
 
 def _string(v: Column) -> Column:
