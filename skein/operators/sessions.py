@@ -8,7 +8,7 @@ combines them before the shuffle and one very long log is no burden.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skein.functions.text import SPACE, TITLE_LENGTH, cwd_from_text, derive_title, first_known, redact, session_id_from_name, text
@@ -64,7 +64,7 @@ def session_fold(events: DataFrame, files: DataFrame) -> DataFrame:
 
 def with_titles(records: DataFrame, index: DataFrame, redacted: bool = True) -> DataFrame:
     """Adds title, title_source and index_updated. index has a row for each id, so the join adds none."""
-    joined = records.join(index, (F.col("id") == F.col("index_id")) & (F.col("id") != ""), "left") if "index_id" in index.columns else records.join(index, "id", "left")
+    joined = records.join(index, "id", "left")  # no entry has an empty id
     named, spoken = derive_title(text("index_title"), TITLE_LENGTH), derive_title(F.col("first_text"), TITLE_LENGTH)
     raw = first_known(named, spoken)
     source = F.when(named != "", "session_index").when(spoken != "", "first_user_message").otherwise("")
@@ -141,7 +141,3 @@ def project_order(sessions: DataFrame, seq: str = "seq") -> DataFrame:
     first = sessions.groupBy(project_key(F.col("cwd")).alias("project_key")).agg(F.min(seq).alias("first_seq"))
     return numbered(first, [F.col("first_seq")], "project_no").drop("first_seq")
 
-
-def window_numbers(name: str, order: list[Column]) -> Column:
-    """The same numbers by a window, for results that are small by nature."""
-    return F.row_number().over(Window.orderBy(*order)).cast("long").alias(name)
