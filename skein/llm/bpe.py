@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from array import array
 from functools import lru_cache
 
 import ahocorasick
@@ -119,7 +120,7 @@ def read_ranks(path: str) -> dict[bytes, int]:
 def pair_encoder(path: str, pattern: str) -> tuple[PieceEncoder, BytePairs, dict[int, str]]:
     """The encoder of a rank file. One for each worker process."""
     pairs = BytePairs(read_ranks(path))
-    words = lambda new: [pairs.encode(w.encode()) for w in new]
+    words = lambda new: [array("I", pairs.encode(w.encode())).tobytes() for w in new]
     return PieceEncoder(pattern, words), pairs, {r: str(r) for r in pairs.token}
 
 

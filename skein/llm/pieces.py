@@ -8,7 +8,6 @@ Texts with other white space or a special token's string take a plain route with
 
 from __future__ import annotations
 
-from array import array
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -27,10 +26,11 @@ class PieceEncoder:
     """Encodes texts as encode_words(pre-tokens) would, pre-token by pre-token.
 
     pattern splits text into pre-tokens. specials are strings that encode_text, and it alone, may treat as one token:
-    a text that holds one goes to encode_text whole. Ids are kept as the bytes of unsigned 32-bit integers.
+    a text that holds one goes to encode_text whole. Ids are kept as the bytes of unsigned 32-bit integers, which is what
+    encode_words returns.
     """
 
-    def __init__(self, pattern: str, encode_words: Callable[[list[str]], list[list[int]]], specials: tuple[str, ...] = (), encode_text: Callable[[str], list[int]] | None = None):
+    def __init__(self, pattern: str, encode_words: Callable[[list[str]], list[bytes]], specials: tuple[str, ...] = (), encode_text: Callable[[str], list[int]] | None = None):
         self.find = regex.compile(pattern).findall
         self.encode_words, self.specials, self.encode_text = encode_words, specials, encode_text
         self.words: dict[str, bytes] = {}
@@ -53,7 +53,7 @@ class PieceEncoder:
             known.clear()
         new = list({w for words in lists for w in words if w not in known})
         if new:
-            known.update(zip(new, (array("I", x).tobytes() for x in self.encode_words(new)), strict=True))
+            known.update(zip(new, self.encode_words(new), strict=True))
         return [known[words[0]] if len(words) == 1 else b"".join([known[w] for w in words]) for words in lists]
 
     def _of_pieces(self, pieces: list[str]) -> list[bytes]:

@@ -56,19 +56,24 @@ def library_encoder(path: str) -> PieceEncoder | WholeTexts:
     tokenizer.no_padding()
     ids = lambda texts: [x.ids for x in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def words(new: list[str]) -> list[list[int]]:
+    # Ids whose token begins with a space: where one pre-token of many ends.
+    begins = np.zeros(tokenizer.get_vocab_size() + 1, bool)
+    begins[[i for token, i in tokenizer.get_vocab().items() if token.startswith("\u0120")]] = True
+
+    def words(new: list[str]) -> list[bytes]:
         """Pre-tokens that begin with a space stay apart in one long text; the others go to the library one by one."""
         joined = [w for w in new if len(w) > 1 and w[0] == " " and not w[1].isspace()]
-        out: dict[str, list[int]] = {}
+        out: dict[str, bytes] = {}
         for k in range(0, len(joined), JOINED):
             part = joined[k : k + JOINED]
-            got = tokenizer.encode("".join(part), add_special_tokens=False)
-            lists: list[list[int]] = [[] for _ in part]
-            for i, w in zip(got.ids, got.word_ids, strict=True):
-                lists[w].append(i)
-            out.update(zip(part, lists, strict=True))
+            got = np.array(ids(["".join(part)])[0], np.uint32)
+            cuts = np.append(np.flatnonzero(begins[got]), len(got))
+            if len(cuts) != len(part) + 1:
+                raise ValueError("the tokenizer does not keep pre-tokens apart")
+            data, cuts = got.tobytes(), (cuts * 4).tolist()
+            out.update(zip(part, [data[a:b] for a, b in zip(cuts, cuts[1:])], strict=True))
         rest = [w for w in new if w not in out]
-        out.update(zip(rest, ids(rest), strict=True))
+        out.update(zip(rest, [np.array(x, np.uint32).tobytes() for x in ids(rest)], strict=True))
         return [out[w] for w in new]
 
     with open(path, encoding="utf-8") as f:
