@@ -160,7 +160,6 @@ def verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """node, class (the smallest node that links lead to) for the nodes of the links (a, b)."""
     edges = materialise(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
-    state = None
     while True:
         # Large star: a node's larger neighbours move to the smallest node around it.
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -172,10 +171,48 @@ def components(links: DataFrame) -> DataFrame:
         following = materialise(small, "edges")
         discard(edges)
         edges = following
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == now:
+        # Done when every node points at one other, and that one at none.
+        ends = edges.groupBy("u").agg(F.count("*").alias("n")).unionByName(edges.select(F.col("v").alias("u"), F.lit(0).alias("n")).distinct())
+        if ends.groupBy("u").agg(F.count("*").alias("roles"), F.max("n").alias("n")).where("roles > 1 or n > 1").isEmpty():
             return edges.select(F.col("u").alias("node"), F.col("v").alias("class"))
-        state = now
+
+
+def joined_classes(classes: DataFrame, links: DataFrame) -> DataFrame:
+    """Classes of all nodes after further links: only the links' own classes, as nodes, are connected anew."""
+    of = lambda end: classes.select(F.col("node").alias(end), F.col("class").alias(f"c{end}"))
+    between = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    moved = components(between).select(F.col("node").alias("class"), F.col("class").alias("to"))
+    old = classes.join(moved, "class", "left").select("node", F.coalesce("to", "class").alias("class"))
+    # A node that no link had named before is its own class, and moves by itself.
+    new = moved.select(F.col("class").alias("node"), F.col("to").alias("class")).join(classes.select("node"), "node", "left_anti")
+    return materialise(old.unionByName(new), "classes")
+
+
+def _within(now: DataFrame, most: int) -> DataFrame:
+    """Pairs of different classes in buckets of at most `most` members."""
+    held = now.where(F.col("n") <= most).groupBy("band").agg(F.collect_list(F.struct("node", "class")).alias("m"))
+    pairs = "flatten(transform(m, x -> transform(filter(m, y -> y.node > x.node and y.class <> x.class), y -> struct(x.node as a, y.node as b))))"
+    return held.select(F.explode(F.expr(pairs)).alias("p")).select("p.*")
+
+
+def _leaders(now: DataFrame, turn: int) -> DataFrame:
+    """In large buckets, up to three members against those of other classes: of the largest class, and of others by chance."""
+    big = now.where(F.col("n") > SMALL)
+    chance = F.xxhash64("leader", F.lit(turn))
+    leaders = big.groupBy("band", "class").agg(F.min_by("node", F.xxhash64("node", F.lit(turn))).alias("leader"), F.count("*").alias("k"))
+    pick = F.struct("leader", F.col("class").alias("cl"))
+    chosen = leaders.groupBy("band").agg(F.max_by(pick, F.struct("k", "class")).alias("x"), F.max_by(pick, chance).alias("y"), F.min_by(pick, chance).alias("z"))
+    chosen = chosen.select("band", F.explode(F.array_distinct(F.array("x", "y", "z"))).alias("pick")).select("band", "pick.*")
+    return big.join(chosen, "band").where("class <> cl").select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b"))
+
+
+def _outside(now: DataFrame) -> DataFrame:
+    """In large buckets, all members outside the largest class against all of other classes: exact, what leaders have left."""
+    big = now.where(F.col("n") > SMALL)
+    largest = big.groupBy("band", "class").agg(F.count("*").alias("k")).groupBy("band").agg(F.max_by("class", F.struct("k", "class")).alias("main"))
+    outside = big.join(largest, "band").where("class <> main").select("band", F.col("node").alias("x"), F.col("class").alias("cx"))
+    met = outside.join(big.select("band", F.col("node").alias("y"), F.col("class").alias("cy")), "band").where("cx <> cy")
+    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = LEAST) -> DataFrame:
@@ -196,40 +233,23 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     texts = materialise(texts.dropDuplicates(["node"]), "texts")
 
     checked = materialise(members.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), "checked")
-    links = materialise(verified(checked, texts, least), "links")
+    classes = materialise(components(verified(checked, texts, least)), "classes")
     for turn in range(ROUNDS + 1):
-        classes = components(links)
-        # Buckets whose members are not all in one class, with the classes.
-        now = members.select("band", "node", "n").join(classes, "node", "left").select("band", "node", "n", F.coalesce("class", "node").alias("class"))
+        # Buckets whose members are not all in one class, with the classes. Small ones are done after their one turn.
+        now = members.where(F.col("n") > SMALL) if turn else members
+        now = now.select("band", "node", "n").join(classes, "node", "left").select("band", "node", "n", F.coalesce("class", "node").alias("class"))
         split = now.groupBy("band").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low <> high").select("band")
         now = materialise(now.join(split, "band", "left_semi"), "open")
         if now.isEmpty():
             break
-        last = turn == ROUNDS
-        small = now.where(F.col("n") <= SMALL)
-        pairs = small.groupBy("band").agg(F.collect_list(F.struct("node", "class")).alias("m"))  # at most SMALL members
-        pairs = pairs.select(F.explode(F.expr("flatten(transform(m, x -> transform(filter(m, y -> y.node > x.node and y.class <> x.class), y -> struct(x.node as a, y.node as b))))")).alias("p")).select("p.*")
-        big = now.where(F.col("n") > SMALL)
-        if last:
-            # All outside a bucket's largest class against all of other classes: exact, and what leaders have left.
-            sizes = big.groupBy("band", "class").agg(F.count("*").alias("k"))
-            largest = sizes.groupBy("band").agg(F.max_by("class", F.struct("k", "class")).alias("main"))
-            outside = big.join(largest, "band").where("class <> main").select("band", F.col("node").alias("x"), F.col("class").alias("cx"))
-            against = outside.join(big.select("band", F.col("node").alias("y"), F.col("class").alias("cy")), "band").where("cx <> cy").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-        else:
-            # Further leaders: a member of the largest class of the bucket and members of other classes, by chance.
-            chance = F.xxhash64("leader", F.lit(turn))
-            leaders = big.groupBy("band", "class").agg(F.min_by("node", F.xxhash64("node", F.lit(turn))).alias("leader"), F.count("*").alias("k"))
-            pick = F.struct("leader", F.col("class").alias("cl"))
-            chosen = leaders.groupBy("band").agg(F.max_by(pick, F.struct("k", "class")).alias("x"), F.max_by(pick, chance).alias("y"), F.min_by(pick, chance).alias("z"))
-            chosen = chosen.select("band", F.explode(F.array_distinct(F.array("x", "y", "z"))).alias("pick")).select("band", "pick.*")
-            against = big.join(chosen, "band").where("class <> cl").select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b"))
-        fresh = materialise(pairs.unionByName(against).distinct().join(checked, ["a", "b"], "left_anti"), "fresh")
-        more = materialise(verified(fresh, texts, least), "links")
-        checked, links = materialise(checked.unionByName(fresh), "checked"), materialise(links.unionByName(more), "links")
+        pairs = _within(now, SMALL) if not turn else None
+        against = _outside(now) if turn == ROUNDS else _leaders(now, turn)
+        pairs = against if pairs is None else pairs.unionByName(against)
+        fresh = materialise(pairs.distinct().join(checked, ["a", "b"], "left_anti"), "fresh")
         discard(now)
-        if last:
-            classes = components(links)
+        if not fresh.isEmpty():
+            checked = materialise(checked.unionByName(fresh), "checked")
+            classes = joined_classes(classes, verified(fresh, texts, least))
     named = nodes.select("h1", "h2", "node").join(classes, "node", "left").select("h1", "h2", F.coalesce("class", "node").alias("class"))
     # Nodes without an id sort below all others; a class takes the smallest id that it has.
     whole = sketched.select("doc_id", "h1", "h2").join(named, ["h1", "h2"])

@@ -36,6 +36,8 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     back._skein_path = path
+    # What led to the table is garbage now; once the driver's JVM sees that, the shuffle files behind it leave the disks.
+    spark.sparkContext._jvm.System.gc()
     return back
 
 
