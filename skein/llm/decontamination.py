@@ -1,13 +1,13 @@
-"""Benchmark decontamination: rare n-gram seeds join passages to test items, Smith-Waterman alignment scores them.
+"""Benchmark decontamination: n-gram seeds join passages to test items, Smith-Waterman alignment scores them.
 
-The n-grams of the test items are looked up in every whole text. A first pass counts in how many documents each stands,
-over all documents. An item's seeds are its n-grams that few documents have and, however common, its rarest half, so that
-an item that leaked into a large part of the corpus keeps its seeds. A second pass takes every place where a seed of an
-item stands, cuts the passage around it that the item could cover, and aligns the words of both (match 2, mismatch and gap
--1). The best local score, as a share of what the item scores against itself, tells exact and edited copies from chance.
+An item's seeds are all its n-grams: a choice among them by how few documents have them would lose edited passages that
+are themselves copied, whose surviving n-grams are the common ones. One pass over every whole text takes every place where
+a seed of an item stands, cuts the passage around it that the item could cover, drops it if it holds too few of the item's
+words for any alignment to reach the score, and aligns the words of the rest (match 2, mismatch and gap -1). The best local
+score, as a share of what the item scores against itself, tells exact and edited copies from chance. A passage edited so
+densely that no n-gram of the item is left in it opens no window.
 
-Test items are a query set that goes against all rows in blocks of bounded size; documents never move, and only counts of
-the items' own n-grams are gathered.
+Test items are a query set that goes against all rows in blocks of bounded size; documents never move.
 
 Null and empty texts match nothing, and so do items without words; items of fewer words than a seed have one seed. Rows
 with a null id keep it. Repeated documents are judged each on its own; repeated items give a row each. Empty tables give
@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 from skein.llm.pieces import balanced
 from skein.llm.words import ngrams, word_hashes
 
-#: Words of a seed; the documents that may have a seed for it to be rare; share of an item's seeds kept however common.
-SEED, RARE, ALWAYS = 3, 1e-3, 0.5
+#: Words of a seed.
+SEED = 3
 #: Characters of test items in a block, and share of an item's own score from which a passage counts as a copy.
 BLOCK_CHARS, LEAST = 16_000_000, 0.5
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -65,27 +65,8 @@ class Items:
             for place, seed in enumerate(ngrams(words, n).tolist() if n else ()):
                 self.by_length[n][seed].append((k, place))
         self.by_length = {n: dict(d) for n, d in self.by_length.items()}
-        self.sorted()
-
-    def sorted(self) -> None:
         self.seeds = {n: np.array(sorted(d), np.uint64) for n, d in self.by_length.items() if d}
 
-    def keep(self, counts: dict[int, int], documents: int) -> None:
-        """Leave the seeds that are rare, and each item's rarest."""
-        own: dict[int, set[int]] = defaultdict(set)
-        for d in self.by_length.values():
-            for seed, places in d.items():
-                for k, _ in places:
-                    own[k].add(seed)
-        kept: set[tuple[int, int]] = set()
-        for k, seeds in own.items():
-            ranked = sorted(seeds, key=lambda s: (counts.get(s, 0), s))
-            always = -(-len(ranked) * ALWAYS // 1)
-            kept.update((k, s) for r, s in enumerate(ranked) if r < always or counts.get(s, 0) <= RARE * documents)
-        for n, d in self.by_length.items():
-            self.by_length[n] = {s: left for s, places in d.items() if (left := [(k, p) for k, p in places if (k, s) in kept])}
-        self.sorted()
-
     def hits(self, flat: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, int]]:
         """Document number, place in flat, and seed, wherever a seed stands within one document."""
         for n, seeds in self.seeds.items():
@@ -150,25 +131,6 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     for block in blocks_of(benchmark, item_col, item_text_col):
         items = Items(block)
 
-        def count(batches, items=items):
-            total: dict[int, int] = defaultdict(int)
-            n = 0
-            for batch in balanced(batches, "text"):
-                flat, offsets = word_hashes(batch.column("text").fill_null("").to_pylist())
-                for _, seed in {(doc, seed) for doc, _, seed in items.hits(flat, offsets)}:
-                    total[seed] += 1
-                n += batch.num_rows
-            seeds = np.array([*total, 0], np.uint64).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(seeds), pa.array([*total.values(), 0], pa.int64()), pa.array([0] * len(total) + [n], pa.int64())], ["seed", "n", "documents"])
-
-        # Two sums a seed of this block: bounded by the block, not by the corpus.
-        counted = rows.mapInArrow(count, "seed long, n long, documents long").groupBy("seed").agg(F.sum("n").alias("n"), F.sum("documents").alias("documents"))
-        counts, documents = {}, 0
-        for r in counted.toLocalIterator():
-            counts[r.seed & (2**64 - 1)] = r.n
-            documents += r.documents
-        items.keep(counts, documents)
-
         def match(batches, items=items):
             for batch in balanced(batches, "text"):
                 flat, offsets = word_hashes(batch.column("text").fill_null("").to_pylist())

@@ -254,3 +254,12 @@ def test_contamination(spark, docs, no_docs, make):
     assert kept.columns == table.columns and {r.doc_id for r in kept.collect()} == {d for d, _ in rows} - {d for d, _ in got}
     assert contaminated(no_docs, bench).count() == 0
     assert contaminated(table, bench.where("1 = 0")).count() == 0
+
+
+def test_contamination_by_an_edited_passage_that_is_itself_copied(spark, make):
+    words = [f"item{k}" for k in range(40)]
+    edited = " ".join("other" if k % 5 == 4 else w for k, w in enumerate(words))
+    rows = [(k, make(700 + k, 60) + (" " + edited if k < 5 else "")) for k in range(40)]
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {(r.doc_id, r.item_id): r.score for r in contaminated(table, spark.createDataFrame([(0, " ".join(words))], "item_id long, text string")).collect()}
+    assert got == pytest.approx({(k, 0): smith_waterman(words, edited.split()) / 80 for k in range(5)})
