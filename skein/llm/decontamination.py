@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skein.llm.pieces import balanced
+from skein.llm.rows import text_key, without
 from skein.llm.words import ngrams, word_hashes
 
 #: Words of a seed.
@@ -122,11 +123,11 @@ def blocks_of(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[list
         yield block
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """One row per document and test item that it holds a copy of: doc_id, item_id, score, first_word, last_word."""
+def passages(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """One row per document and test item that it holds a copy of: doc_id, t (its text's key), item_id, score, first_word, last_word."""
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    schema = "doc_id long, item_id long, score double, first_word long, last_word long"
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), text_key(F.col(text_col)).alias("t"))
+    schema = "doc_id long, t long, item_id long, score double, first_word long, last_word long"
     out = spark.createDataFrame([], schema)
     for block in blocks_of(benchmark, item_col, item_text_col):
         items = Items(block)
@@ -135,15 +136,19 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
             for batch in balanced(batches, "text"):
                 flat, offsets = word_hashes(batch.column("text").fill_null("").to_pylist())
                 found = list(items.matches(flat, offsets))
-                ids = batch.column("doc_id").to_pylist()
-                columns = [[ids[x[0]] for x in found], [items.ids[x[1]] for x in found], [x[2] for x in found], [x[3] for x in found], [x[4] for x in found]]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.float64() if k == 2 else pa.int64()) for k, c in enumerate(columns)], ["doc_id", "item_id", "score", "first_word", "last_word"])
+                ids, keys = batch.column("doc_id").to_pylist(), batch.column("t").to_pylist()
+                columns = [[ids[x[0]] for x in found], [keys[x[0]] for x in found], [items.ids[x[1]] for x in found], [x[2] for x in found], [x[3] for x in found], [x[4] for x in found]]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.float64() if k == 3 else pa.int64()) for k, c in enumerate(columns)], ["doc_id", "t", "item_id", "score", "first_word", "last_word"])
 
         out = out.unionByName(rows.mapInArrow(match, schema))
     return out
 
 
+def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """One row per document and test item that it holds a copy of: doc_id, item_id, score, first_word, last_word."""
+    return passages(docs, benchmark, id_col, text_col, item_col, item_text_col).drop("t")
+
+
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents that hold no copy of a test item, with all their columns."""
-    leaks = contaminated(docs, benchmark, id_col, text_col).select(F.col("doc_id").alias("__leak")).distinct()
-    return docs.join(leaks, F.col(id_col).cast("long").eqNullSafe(F.col("__leak")), "left_anti")
+    return without(docs, passages(docs, benchmark, id_col, text_col), id_col, text_col)

@@ -11,7 +11,7 @@ rows meets in no task. Rows that go on are written to the shared folder between
 Null texts count as empty, and empty texts are one group. Rows with a null id or with the same id are rows of their own;
 of equal texts, the longest original, then the smallest id stays (a null id stays only where no other does; of repeated
 rows with that id each is marked as kept, and group_size counts each). An empty table gives an empty result. Columns
-other than id and text are ignored, whatever their names.
+other than id and text are ignored, whatever their names. Where copies are dropped, each row goes or stays by its own mark.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from skein.llm.rows import text_key, without
 from skein.llm.storage import discard, materialise
 
 #: Bytes of the first split, and how the stride grows from split to split.
@@ -32,23 +33,23 @@ def normalised(text: Column) -> Column:
     return text
 
 
-def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, keep_id, group_size, kept, text_sha256."""
+def marked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: doc_id, t (its text's key), keep_id, group_size, kept, text_sha256."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    raw = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.length(text).alias("cp"), normalised(text).alias("norm"))
+    raw = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_key(F.col(text_col)).alias("t"), F.length(text).alias("cp"), normalised(text).alias("norm"))
     digit = [F.octet_length("norm").alias("len"), F.substring(F.col("norm").cast("binary"), 1, FIRST_STRIDE).alias("chunk")]
     best = F.max(F.struct("cp", (-F.col("doc_id")).alias("neg"))).alias("best")
-    rows = materialise(raw.select("doc_id", "cp", *digit, F.sha2("norm", 256).alias("sha")), "digits")
+    rows = materialise(raw.select("doc_id", "t", "cp", *digit, F.sha2("norm", 256).alias("sha")), "digits")
     first = rows.groupBy("len", "chunk").agg(F.count("*").alias("n"), best)
 
     # Groups of one, and groups whose texts have ended, are done.
     ended = (F.col("n") == 1) | (F.col("len") <= FIRST_STRIDE)
-    done = [rows.join(first.where(ended), ["len", "chunk"]).select("doc_id", "cp", "sha", "n", "best")]
+    done = [rows.join(first.where(ended), ["len", "chunk"]).select("doc_id", "t", "cp", "sha", "n", "best")]
     open_groups = first.where(~ended).select("len", "chunk")
     live = materialise(
         raw.withColumns({"len": F.octet_length("norm"), "chunk": F.substring(F.col("norm").cast("binary"), 1, FIRST_STRIDE)}).where(F.col("len") > FIRST_STRIDE)
         .join(open_groups, ["len", "chunk"], "left_semi")
-        .select("doc_id", "cp", "len", F.struct("len", "chunk").alias("group"), F.sha2("norm", 256).alias("sha"), F.substring(F.col("norm").cast("binary"), FIRST_STRIDE + 1, 1 << 30).alias("rest")),
+        .select("doc_id", "t", "cp", "len", F.struct("len", "chunk").alias("group"), F.sha2("norm", 256).alias("sha"), F.substring(F.col("norm").cast("binary"), FIRST_STRIDE + 1, 1 << 30).alias("rest")),
         "live",
     )
     offset, stride, label = FIRST_STRIDE, FIRST_STRIDE * GROWTH, "struct(doc_id, cp, sha)"
@@ -59,11 +60,11 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         offset += stride
         groups = materialise(groups.where(F.col("n") > 0), "groups")
         ended = (F.col("n") == 1) | (F.col("end") <= offset)
-        done.append(materialise(split.join(groups.where(ended), ["group", "chunk"]).select("doc_id", "cp", "sha", "n", "best"), "done"))
+        done.append(materialise(split.join(groups.where(ended), ["group", "chunk"]).select("doc_id", "t", "cp", "sha", "n", "best"), "done"))
         if offset >= longest:
             break
         onward = split.join(groups.where(~ended).select("group", "chunk", "name"), ["group", "chunk"])
-        onward = onward.select("doc_id", "cp", "len", F.col("name").alias("group"), "sha", F.substring("rest", stride + 1, 1 << 30).alias("rest"))
+        onward = onward.select("doc_id", "t", "cp", "len", F.col("name").alias("group"), "sha", F.substring("rest", stride + 1, 1 << 30).alias("rest"))
         following = materialise(onward, "live")
         discard(groups)
         discard(live)
@@ -73,11 +74,15 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         out = out.unionByName(part)
     keep = -F.col("best.neg")
     kept = keep.eqNullSafe(F.col("doc_id")) & (F.col("cp") == F.col("best.cp"))
-    return out.select("doc_id", keep.alias("keep_id"), F.col("n").alias("group_size"), kept.alias("kept"), F.col("sha").alias("text_sha256"))
+    return out.select("doc_id", "t", keep.alias("keep_id"), F.col("n").alias("group_size"), kept.alias("kept"), F.col("sha").alias("text_sha256"))
+
+
+def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: doc_id, keep_id, group_size, kept, text_sha256."""
+    return marked(docs, id_col, text_col).drop("t")
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents whose row stays, with all their columns."""
-    groups = materialise(exact_groups(docs, id_col, text_col), "exact-groups")
-    dropped = groups.where(~F.col("kept")).select(F.col("doc_id").alias("__dropped"))
-    return docs.join(dropped, F.col(id_col).cast("long").eqNullSafe(F.col("__dropped")), "left_anti")
+    groups = materialise(marked(docs, id_col, text_col).select("doc_id", "t", "kept"), "exact-groups")
+    return without(docs, groups.where(~F.col("kept")), id_col, text_col)

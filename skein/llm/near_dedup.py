@@ -17,9 +17,9 @@ Classes are the connected components of the links, found by alternating large-st
 the shared folder.
 
 A text of one to four words is one shingle; a text without words is one shingle of its trimmed characters, so null, empty
-and blank texts form one class. A class is named by its smallest id and that document stays; repeated rows of an id all
-stay or go together; rows with null ids are in the class of their text and stay only if no row with an id is in it. An
-empty table gives an empty result; columns other than id and text are ignored, whatever their names.
+and blank texts form one class. A class is named by its smallest id and that document stays; rows of an id in one class
+all stay or go together; rows with null ids are in the class of their text and stay only if no row with an id is in it. Where
+near copies are dropped, each row goes or stays by its own mark. An empty table gives an empty result; columns other than id and text are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skein.llm.pieces import balanced
+from skein.llm.rows import text_key, without
 from skein.llm.storage import discard, materialise
 from skein.llm.words import mix, ngrams, word_hashes
 
@@ -215,10 +216,10 @@ def _outside(now: DataFrame) -> DataFrame:
     return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = LEAST) -> DataFrame:
-    """One row per document: doc_id, class_id (the smallest id of its class), kept."""
+def marked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = LEAST) -> DataFrame:
+    """One row per document: doc_id, t (its text's key), class_id (the smallest id of its class), kept."""
     text = F.col(text_col)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("t"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), text_key(text).alias("t"))
     sketched = materialise(sketches(rows), "sketches")
     # A node is a set of weighted shingles, named by its smallest document; without an id, by a negative hash.
     nodes = sketched.groupBy("h1", "h2").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t")).alias("of"), F.first("bands").alias("bands"))
@@ -252,13 +253,17 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             classes = joined_classes(classes, verified(fresh, texts, least))
     named = nodes.select("h1", "h2", "node").join(classes, "node", "left").select("h1", "h2", F.coalesce("class", "node").alias("class"))
     # Nodes without an id sort below all others; a class takes the smallest id that it has.
-    whole = sketched.select("doc_id", "h1", "h2").join(named, ["h1", "h2"])
+    whole = sketched.select("doc_id", "t", "h1", "h2").join(named, ["h1", "h2"])
     least_id = whole.groupBy("class").agg(F.min("doc_id").alias("class_id"))
-    return whole.join(least_id, "class").select("doc_id", "class_id", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))
+    return whole.join(least_id, "class").select("doc_id", "t", "class_id", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))
+
+
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = LEAST) -> DataFrame:
+    """One row per document: doc_id, class_id (the smallest id of its class), kept."""
+    return marked(docs, id_col, text_col, least).drop("t")
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One document of each class, with all its columns."""
-    groups = materialise(near_groups(docs, id_col, text_col), "near-groups")
-    dropped = groups.where(~F.col("kept")).select(F.col("doc_id").alias("__dropped")).distinct()
-    return docs.join(dropped, F.col(id_col).cast("long").eqNullSafe(F.col("__dropped")), "left_anti")
+    groups = materialise(marked(docs, id_col, text_col).select("doc_id", "t", "kept"), "near-groups")
+    return without(docs, groups.where(~F.col("kept")), id_col, text_col)

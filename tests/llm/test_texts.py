@@ -263,3 +263,16 @@ def test_contamination_by_an_edited_passage_that_is_itself_copied(spark, make):
     table = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     got = {(r.doc_id, r.item_id): r.score for r in contaminated(table, spark.createDataFrame([(0, " ".join(words))], "item_id long, text string")).collect()}
     assert got == pytest.approx({(k, 0): smith_waterman(words, edited.split()) / 80 for k in range(5)})
+
+
+def test_filters_drop_the_rejected_rows_alone(spark, make):
+    leak, clean = make(800, 40), [make(801 + k, 60) for k in range(4)]
+    near = " ".join([*clean[0].split()[:59], "changed"])
+    stay = lambda rows, drop: sorted(map(tuple, drop(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()), key=str)
+    rows = [(7, "a b"), (7, "ab"), (7, clean[0]), (None, "c d"), (None, "cd"), (None, clean[1]), (8, clean[2]), (8, "a  b ")]
+    assert stay(rows, drop_copies) == sorted([(8, "a  b "), (7, clean[0]), (None, "c d"), (None, clean[1]), (8, clean[2])], key=str)
+    rows = [(1, clean[0]), (3, near), (7, near), (7, clean[1]), (None, near), (None, clean[2]), (None, None)]
+    assert stay(rows, drop_near_copies) == sorted([(1, clean[0]), (7, clean[1]), (None, clean[2]), (None, None)], key=str)
+    rows = [(7, leak), (7, clean[0]), (None, "x " + leak), (None, clean[1]), (None, None), (8, clean[2])]
+    bench = spark.createDataFrame([(0, leak)], "item_id long, text string")
+    assert stay(rows, lambda docs: drop_contaminated(docs, bench)) == sorted([(7, clean[0]), (None, clean[1]), (None, None), (8, clean[2])], key=str)
