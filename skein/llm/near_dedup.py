@@ -17,9 +17,11 @@ Classes are the connected components of the links, found by alternating large-st
 the shared folder.
 
 A text of one to four words is one shingle; a text without words is one shingle of its trimmed characters, so null, empty
-and blank texts form one class. A class is named by its smallest id and that document stays; rows of an id in one class
-all stay or go together; rows with null ids are in the class of their text and stay only if no row with an id is in it. Where
-near copies are dropped, each row goes or stays by its own mark. An empty table gives an empty result; columns other than id and text are ignored, whatever their names.
+and blank texts form one class. A class is named by its smallest id and that document stays. Rows of an id in one class all
+stay or go together; its texts in different classes are judged each in its own, and two classes with the same smallest id
+share that name. Rows with null ids are in the class of their text and stay only if no row with an id is in it. Where near
+copies are dropped, each row goes or stays by its own mark. An empty table gives an empty result; columns other than id and
+text are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -221,10 +223,9 @@ def marked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", leas
     text = F.col(text_col)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), text_key(text).alias("t"))
     sketched = materialise(sketches(rows), "sketches")
-    # A node is a set of weighted shingles, named by its smallest document; without an id, by a negative hash.
+    # A node is a set of weighted shingles, named by a number of its own: an id may stand for several texts.
     nodes = sketched.groupBy("h1", "h2").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t")).alias("of"), F.first("bands").alias("bands"))
-    name = F.coalesce("of.doc_id", -F.abs(F.xxhash64("h1", "h2") % (1 << 62)) - 1)
-    nodes = materialise(nodes.select("h1", "h2", name.alias("node"), "of.doc_id", "of.t", "bands"), "nodes")
+    nodes = materialise(nodes.select("h1", "h2", F.monotonically_increasing_id().alias("node"), "of.doc_id", "of.t", "bands"), "nodes")
     members = nodes.select("node", F.explode("bands").alias("band"))
     # Only buckets of more than one node matter.
     full = members.groupBy("band").agg(F.count("*").alias("n"), F.min("node").alias("leader")).where("n > 1")
@@ -252,7 +253,7 @@ def marked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", leas
             checked = materialise(checked.unionByName(fresh), "checked")
             classes = joined_classes(classes, verified(fresh, texts, least))
     named = nodes.select("h1", "h2", "node").join(classes, "node", "left").select("h1", "h2", F.coalesce("class", "node").alias("class"))
-    # Nodes without an id sort below all others; a class takes the smallest id that it has.
+    # A class takes the smallest id that it has.
     whole = sketched.select("doc_id", "t", "h1", "h2").join(named, ["h1", "h2"])
     least_id = whole.groupBy("class").agg(F.min("doc_id").alias("class_id"))
     return whole.join(least_id, "class").select("doc_id", "t", "class_id", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))

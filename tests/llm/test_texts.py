@@ -276,3 +276,13 @@ def test_filters_drop_the_rejected_rows_alone(spark, make):
     rows = [(7, leak), (7, clean[0]), (None, "x " + leak), (None, clean[1]), (None, None), (8, clean[2])]
     bench = spark.createDataFrame([(0, leak)], "item_id long, text string")
     assert stay(rows, lambda docs: drop_contaminated(docs, bench)) == sorted([(7, clean[0]), (None, clean[1]), (None, None), (8, clean[2])], key=str)
+
+
+def test_near_groups_of_two_texts_under_one_id(spark, make):
+    edit = lambda text, k: " ".join([*text.split()[:-1], f"edit{k}"])
+    one, two, three = (make(900 + k, 80) for k in range(3))
+    rows = [(7, one), (7, two), (5, three), (5, edit(two, 1)), (9, edit(one, 2)), (10, edit(two, 3)), (11, edit(three, 4)), (None, edit(one, 5)), (None, make(904, 80))]
+    expect = [(5, 5, True), (5, 5, True), (7, 5, False), (7, 7, True), (9, 7, False), (10, 5, False), (11, 5, False), (None, 7, False), (None, None, True)]
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted(map(tuple, near_groups(table).collect()), key=str) == sorted(expect, key=str)
+    assert sorted(map(tuple, drop_near_copies(table).collect()), key=str) == sorted([rows[0], rows[2], rows[3], rows[8]], key=str)
