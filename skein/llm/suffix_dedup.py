@@ -1,17 +1,17 @@
-"""Removal of long repeated passages with a logarithmic family of suffix arrays.
+"""Removal of long repeated passages with a logarithmic family of tables of sampled suffixes.
 
 Every byte covered by a string of LENGTH bytes that also starts earlier (in a document of smaller id, or earlier in the
 same document) is removed; overlaps count, matches never cross documents, and strings are judged on the input.
 
 Suffixes are sampled where content says so: a place is an anchor if the hash of the GRAM bytes from it is the smallest of
 some string of LENGTH bytes around it. Each such string holds an anchor, at the same offset wherever the string stands, so
-no match is lost. An anchor's entry has the hash of its first bytes (the suffix's place in the order), a hash of all the
+no match is lost. An anchor's entry has the hash of its first bytes (its key), a hash of all the
 bytes that a string around it can cover (its context), and where it is.
 
-Entries are dealt out by the hash of the first bytes, and each task keeps the suffix arrays of its part of the order in
-levels. Documents come in batches in the order of ids. A batch's entries are a sorted array; it is merge-scanned against
-itself and the array of each level, becomes a level, and levels that stand for equally many batches merge, so that a batch
-meets a logarithmic number of arrays. An entry whose context stands earlier is covered whole. Entries that share only half
+Entries are dealt out by the hash of the first bytes, and each task keeps the entries of its part of the keys in levels.
+Documents come in batches in the order of ids. A batch's entries are a table sorted by hashes, not by the suffixes' bytes; it
+is looked up by equality in itself and the table of each level, becomes a level, and levels that stand for equally many batches merge, so that a batch
+meets a logarithmic number of tables. An entry whose context stands earlier is covered whole. Entries that share only half
 a context with others are contested: their bytes are fetched, and their strings compared offset by offset.
 
 Copies of a context within a batch of rows are settled before the shuffle, so a passage that a third of all documents hold
@@ -127,9 +127,9 @@ def entries_of(texts: list[bytes]) -> dict[str, np.ndarray]:
 
 
 class Levels:
-    """The suffix arrays of one part of the order: a level stands for a power of two of batches.
+    """The tables of one part of the keys: a level stands for a power of two of batches.
 
-    Columns of an array: key, ctx, right, left, doc, pos; sorted by key and ctx, a row for each context's first place.
+    Columns of a table: key, ctx, right, left, doc, pos; sorted by key and ctx, a row for each context's first place.
     """
 
     def __init__(self):
