@@ -8,13 +8,12 @@ sets. Where a shingle stands more than once, a second sketch with weights of one
 
 Two documents are linked if the probability Jaccard of the weighted shingles or the Jaccard of the sets, computed exactly
 from the texts, is at least 0.8. Documents with equal weighted shingles are one node from the start, so that copies never
-make pairs. In each bucket of a band every member is first compared with the bucket's leader alone; buckets that then lie
-in one component are done. What is left goes on: small buckets with all pairs of different components, large ones with
-further leaders, and in the end all members outside the largest component against the whole bucket. So no candidate pair of
-documents that could still join two classes goes unverified, while copies of one text cost one comparison each.
+make pairs. In a bucket of few members each is first compared with one alone, and then only what that leaves in different
+classes. Crowded buckets are thinned out exactly (`skein.llm.crowded`): members are dealt out again by what they have besides
+that which the bucket has in common, so that no pair that could be linked goes unverified, and edited copies of one text cost a
+few comparisons each, however many they are.
 
-Classes are the connected components of the links, found by alternating large-star and small-star steps, each written to
-the shared folder.
+Classes are the connected components of the links (`skein.llm.graph`).
 
 A text of one to four words is one shingle; a text without words is one shingle of its trimmed characters, so null, empty
 and blank texts form one class. A class is named by its smallest id and that document stays. Rows of an id in one class all
@@ -34,16 +33,20 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skein.llm.crowded import left_over, stars, thinned
+from skein.llm.graph import components, joined_classes
 from skein.llm.pieces import balanced
 from skein.llm.rows import text_key, without
-from skein.llm.storage import discard, materialise
+from skein.llm.storage import materialise
 from skein.llm.words import mix, ngrams, word_hashes
 
 SHINGLE, LEAST = 5, 0.8
 #: Bands and the registers of each: a pair at 0.8 shares no band once in ten thousand times.
 BANDS, ROWS = 30, 6
-#: Buckets of so many members at most compare all that is left; larger ones try so many leaders in a round at first.
-SMALL, ROUNDS = 32, 4
+#: Buckets of so many members at most compare all that is left in different classes; larger ones are thinned out first.
+SMALL = 32
+#: Bytes of text that a worker handles at once.
+BATCH_BYTES = 2 << 20
 _U = np.uint64
 
 
@@ -117,7 +120,7 @@ def sketches(rows: DataFrame) -> DataFrame:
     """doc_id, name of the weighted shingle set (h1, h2), t as it came, and band hashes."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in balanced(batches, "text"):
+        for batch in balanced(batches, "text", BATCH_BYTES):
             texts = batch.column("text").fill_null("").to_pylist()
             n = len(texts)
             doc, value, count = shingles(texts)
@@ -137,85 +140,42 @@ def sketches(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(sketch, "doc_id long, h1 long, h2 long, t long, bands array<long>")
 
 
-def verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """The pairs (a, b) with their similarity, from the nodes' texts."""
-    left = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
-    right = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
+def features_of(texts: DataFrame) -> DataFrame:
+    """node, v (its shingles' hashes in order), c (their counts as 32-bit integers, empty if all are one). texts: node, text."""
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[int, tuple[np.ndarray, np.ndarray]] = {}  # a leader comes many times in a row
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in balanced(batches, "text", BATCH_BYTES):
+            doc, value, count = shingles(batch.column("text").to_pylist())
+            begin = np.searchsorted(doc, np.arange(batch.num_rows + 1)).tolist()
+            parts = [(value[x:y], count[x:y]) for x, y in zip(begin, begin[1:])]
+            counts = [c.astype(np.int32).tobytes() if (c > 1).any() else b"" for _, c in parts]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([v.tobytes() for v, _ in parts], pa.binary()), pa.array(counts, pa.binary())], ["node", "v", "c"])
 
-        def of(node: int, text: str) -> tuple[np.ndarray, np.ndarray]:
-            if node not in known:
-                if len(known) >= 64:
-                    known.clear()
-                known[node] = shingles([text])[1:]
-            return known[node]
+    return texts.mapInArrow(of, "node long, v binary, c binary")
 
-        for batch in batches:
-            a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
-            s = [similarity(of(x, t), shingles([u])[1:]) for x, t, u in zip(a, batch.column("text_a").to_pylist(), batch.column("text_b").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(s, pa.float64())], ["a", "b", "similarity"])
-
-    return pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b").mapInArrow(compare, "a long, b long, similarity double").where(F.col("similarity") >= least)
-
-
-def components(links: DataFrame) -> DataFrame:
-    """node, class (the smallest node that links lead to) for the nodes of the links (a, b)."""
-    edges = materialise(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
-    while True:
-        # Large star: a node's larger neighbours move to the smallest node around it.
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        # Small star: a node and its smaller neighbours move to the smallest of them.
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        following = materialise(small, "edges")
-        discard(edges)
-        edges = following
-        # Done when every node points at one other, and that one at none.
-        ends = edges.groupBy("u").agg(F.count("*").alias("n")).unionByName(edges.select(F.col("v").alias("u"), F.lit(0).alias("n")).distinct())
-        if ends.groupBy("u").agg(F.count("*").alias("roles"), F.max("n").alias("n")).where("roles > 1 or n > 1").isEmpty():
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("class"))
-
-
-def joined_classes(classes: DataFrame, links: DataFrame) -> DataFrame:
-    """Classes of all nodes after further links: only the links' own classes, as nodes, are connected anew."""
-    of = lambda end: classes.select(F.col("node").alias(end), F.col("class").alias(f"c{end}"))
-    between = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
-    moved = components(between).select(F.col("node").alias("class"), F.col("class").alias("to"))
-    old = classes.join(moved, "class", "left").select("node", F.coalesce("to", "class").alias("class"))
-    # A node that no link had named before is its own class, and moves by itself.
-    new = moved.select(F.col("class").alias("node"), F.col("to").alias("class")).join(classes.select("node"), "node", "left_anti")
-    return materialise(old.unionByName(new), "classes")
-
-
-def _within(now: DataFrame, most: int) -> DataFrame:
-    """Pairs of different classes in buckets of at most `most` members."""
-    held = now.where(F.col("n") <= most).groupBy("band").agg(F.collect_list(F.struct("node", "class")).alias("m"))
-    pairs = "flatten(transform(m, x -> transform(filter(m, y -> y.node > x.node and y.class <> x.class), y -> struct(x.node as a, y.node as b))))"
-    return held.select(F.explode(F.expr(pairs)).alias("p")).select("p.*")
 
+def verified(pairs: DataFrame, features: DataFrame, least: float) -> DataFrame:
+    """The pairs (a, b) of `least` similarity or more, from the nodes' shingles."""
+    end = lambda name: features.select(F.col("node").alias(name), F.struct("v", "c").alias(f"of_{name}"))
+
+    def unpacked(packed: dict) -> tuple[np.ndarray, np.ndarray]:
+        v = np.frombuffer(packed["v"], np.uint64)
+        return v, np.frombuffer(packed["c"], np.int32) if packed["c"] else np.ones(len(v), np.int32)
 
-def _leaders(now: DataFrame, turn: int) -> DataFrame:
-    """In large buckets, up to three members against those of other classes: of the largest class, and of others by chance."""
-    big = now.where(F.col("n") > SMALL)
-    chance = F.xxhash64("leader", F.lit(turn))
-    leaders = big.groupBy("band", "class").agg(F.min_by("node", F.xxhash64("node", F.lit(turn))).alias("leader"), F.count("*").alias("k"))
-    pick = F.struct("leader", F.col("class").alias("cl"))
-    chosen = leaders.groupBy("band").agg(F.max_by(pick, F.struct("k", "class")).alias("x"), F.max_by(pick, chance).alias("y"), F.min_by(pick, chance).alias("z"))
-    chosen = chosen.select("band", F.explode(F.array_distinct(F.array("x", "y", "z"))).alias("pick")).select("band", "pick.*")
-    return big.join(chosen, "band").where("class <> cl").select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b"))
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = batch.column("of_a"), batch.column("of_b")
+            alike = [similarity(unpacked(x[k].as_py()), unpacked(y[k].as_py())) >= least for k in range(batch.num_rows)]
+            yield batch.select(["a", "b"]).filter(pa.array(alike, pa.bool_()))
+
+    return pairs.join(end("b"), "b").join(end("a"), "a").select("a", "b", "of_a", "of_b").mapInArrow(compare, "a long, b long")
 
 
-def _outside(now: DataFrame) -> DataFrame:
-    """In large buckets, all members outside the largest class against all of other classes: exact, what leaders have left."""
-    big = now.where(F.col("n") > SMALL)
-    largest = big.groupBy("band", "class").agg(F.count("*").alias("k")).groupBy("band").agg(F.max_by("class", F.struct("k", "class")).alias("main"))
-    outside = big.join(largest, "band").where("class <> main").select("band", F.col("node").alias("x"), F.col("class").alias("cx"))
-    met = outside.join(big.select("band", F.col("node").alias("y"), F.col("class").alias("cy")), "band").where("cx <> cy")
-    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+def within(lists: DataFrame, classes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different classes in lists (band, node) of bounded size."""
+    held = lists.join(classes, "node", "left").groupBy("band").agg(F.collect_list(F.struct("node", F.coalesce("class", "node").alias("class"))).alias("m"))
+    pairs = "flatten(transform(m, x -> transform(filter(m, y -> y.node > x.node and y.class <> x.class), y -> struct(x.node as a, y.node as b))))"
+    return held.select(F.explode(F.expr(pairs)).alias("p")).select("p.*")
 
 
 def marked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = LEAST) -> DataFrame:
@@ -228,30 +188,22 @@ def marked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", leas
     nodes = materialise(nodes.select("h1", "h2", F.monotonically_increasing_id().alias("node"), "of.doc_id", "of.t", "bands"), "nodes")
     members = nodes.select("node", F.explode("bands").alias("band"))
     # Only buckets of more than one node matter.
-    full = members.groupBy("band").agg(F.count("*").alias("n"), F.min("node").alias("leader")).where("n > 1")
-    members = materialise(members.join(full, "band"), "buckets")
+    sizes = members.groupBy("band").agg(F.count("*").alias("n"), F.min("node").alias("leader")).where("n > 1")
+    members = materialise(members.join(sizes, "band"), "buckets")
     wanted = nodes.join(members.select("node").distinct(), "node", "left_semi").select("node", F.col("doc_id").alias("id"), F.col("t").alias("of_t"))
     texts = rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("t") == F.col("of_t"))).select("node", F.coalesce("text", F.lit("")).alias("text"))
-    texts = materialise(texts.dropDuplicates(["node"]), "texts")
-
-    checked = materialise(members.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), "checked")
-    classes = materialise(components(verified(checked, texts, least)), "classes")
-    for turn in range(ROUNDS + 1):
-        # Buckets whose members are not all in one class, with the classes. Small ones are done after their one turn.
-        now = members.where(F.col("n") > SMALL) if turn else members
-        now = now.select("band", "node", "n").join(classes, "node", "left").select("band", "node", "n", F.coalesce("class", "node").alias("class"))
-        split = now.groupBy("band").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low <> high").select("band")
-        now = materialise(now.join(split, "band", "left_semi"), "open")
-        if now.isEmpty():
-            break
-        pairs = _within(now, SMALL) if not turn else None
-        against = _outside(now) if turn == ROUNDS else _leaders(now, turn)
-        pairs = against if pairs is None else pairs.unionByName(against)
-        fresh = materialise(pairs.distinct().join(checked, ["a", "b"], "left_anti"), "fresh")
-        discard(now)
-        if not fresh.isEmpty():
-            checked = materialise(checked.unionByName(fresh), "checked")
-            classes = joined_classes(classes, verified(fresh, texts, least))
+    features = materialise(features_of(texts.dropDuplicates(["node"])), "features")
+
+    # Every member against one other of its bucket; then what that leaves in different classes.
+    small = members.where(F.col("n") <= SMALL)
+    lists, near = thinned(members.where(F.col("n") > SMALL).select("band", "node"), features, least, SMALL)
+    star = small.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).unionByName(stars(near))
+    checked = materialise(star.distinct(), "checked")
+    classes = materialise(components(verified(checked, features, least)), "classes")
+    rest = within(small.select("band", "node").unionByName(lists), classes).unionByName(left_over(near, classes, least))
+    rest = materialise(rest.distinct().join(checked, ["a", "b"], "left_anti"), "rest")
+    if not rest.isEmpty():
+        classes = joined_classes(classes, verified(rest, features, least))
     named = nodes.select("h1", "h2", "node").join(classes, "node", "left").select("h1", "h2", F.coalesce("class", "node").alias("class"))
     # A class takes the smallest id that it has.
     whole = sketched.select("doc_id", "t", "h1", "h2").join(named, ["h1", "h2"])

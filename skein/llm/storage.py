@@ -3,18 +3,22 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 _made: list[tuple[SparkSession, str]] = []
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The cluster's spark.checkpoint.dir; only where that is unset, as in tests, a folder of our own."""
+    """The cluster's spark.checkpoint.dir; only where that is unset and all runs on this machine, as in tests, a folder of our own."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir is unset: executors on other machines need a shared folder")
         root = "file://" + tempfile.mkdtemp(prefix="skein-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -33,11 +37,15 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: a lost executor costs no recomputation."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    # df is run once, here: its shuffle files leave the disks as soon as the table is written.
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before) if before is not None else spark.conf.unset(_CLEANUP)
     back = spark.read.schema(df.schema).parquet(path)
     back._skein_path = path
-    # What led to the table is garbage now; once the driver's JVM sees that, the shuffle files behind it leave the disks.
-    spark.sparkContext._jvm.System.gc()
     return back
 
 
