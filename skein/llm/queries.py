@@ -41,7 +41,7 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     captures = archive_round_trip(read(spark, sf_dir, "pages"))
     return captures.select(
-        F.col("id").alias("page_id"), F.col("n").alias("payload_bytes"), F.col("digest").alias("payload_digest"), F.col("kind").alias("record_type"), F.col("refers").alias("refers_to"), F.col("time").alias("captured_at"),
+        F.col("id").alias("page_id"), F.col("n").alias("payload_bytes"), F.col("digest").alias("payload_digest"), F.col("kind").alias("record_type"), F.col("refers").alias("refers_to"), F.col("time").alias("captured_at"), F.col("key").alias("url_key"), "position",
     )
 
 
@@ -95,12 +95,14 @@ ORACLE_SQL = {
     """,
     "op4_warc": r"""
         WITH p AS (
-            SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS x FROM pages
+            SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS x, regexp_extract(coalesce(url, ''), '^\w+://([^/?#]*)([^?#]*)([^#]*)', ['host', 'path', 'tail']) AS u FROM pages
+        ), k AS (
+            SELECT *, array_to_string(list_reverse(string_split(regexp_replace(lower(u.host), '^www\.', ''), '.')), ',') || ')' || lower(u.path || u.tail) AS url_key FROM p
         ), q AS (
-            SELECT *, list_transform(range(0, 8), lambda i: ('0x' || substr(x, 5 * i + 1, 5))::BIGINT) AS bits, max(page_id) OVER (PARTITION BY x) AS kept FROM p
+            SELECT *, list_transform(range(0, 8), lambda i: ('0x' || substr(x, 5 * i + 1, 5))::BIGINT) AS bits, max(page_id) OVER (PARTITION BY x) AS kept FROM k
         )
         SELECT page_id, payload_bytes,
             array_to_string(flatten(list_transform(bits, lambda v: list_transform([15, 10, 5, 0], lambda s: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((v >> s) & 31)::INT, 1)))), '') AS payload_digest,
-            CASE WHEN page_id = kept THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id < kept THEN kept END AS refers_to, strftime(TIMESTAMP '2024-01-01' + to_seconds(page_id), '%Y-%m-%dT%H:%M:%SZ') AS captured_at FROM q
+            CASE WHEN page_id = kept THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id < kept THEN kept END AS refers_to, strftime(TIMESTAMP '2024-01-01' + to_seconds(page_id), '%Y-%m-%dT%H:%M:%SZ') AS captured_at, url_key, row_number() OVER (ORDER BY url_key, page_id) - 1 AS position FROM q
     """,
 }

@@ -2,9 +2,11 @@
 
 write_archives puts one record per capture into gzip-compressed WARC 1.1 files in a shared folder: a response, or a
 revisit of the capture that keeps the payload. read_archives parses the files, checks every digest, and leaves for each
-file a run: its captures sorted by URL key and timestamp. merge_runs merges the runs externally: each task takes one range of
-keys, seeks to it in every run through the run's sparse index, and merges the parts with a tree of losers, so that the
-ranges in a row are all captures in global order. More runs than one merge may hold open are first merged in passes.
+file a run: its captures sorted by URL key, timestamp and id. An archive ends after so many written bytes or captures, so that
+a run is sorted in bounded memory. merge_runs merges the runs externally: each task takes one range of places in that order
+(one URL with very many captures is cut like any other stretch), seeks to it in every run through the run's sparse index, and
+merges the parts with a tree of losers, so that the ranges in a row are all captures in global order. More runs than one merge
+may hold open are first merged in passes.
 
 Payload groups are found with partial aggregates over digests; payloads move once, to meet the marks of revisits.
 
@@ -17,6 +19,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import itertools
 import json
 import struct
 import uuid
@@ -34,8 +37,8 @@ from pyspark.sql import functions as F
 
 from skein.llm.storage import materialise, new_path
 
-#: Bytes of payload after which an archive file ends, captures between entries of a run's sparse index, runs in a merge.
-ARCHIVE_BYTES, SPARSE, FAN_IN = 256 << 20, 256, 64
+#: Written bytes and captures after which an archive file ends, captures between entries of a run's sparse index, runs in a merge.
+ARCHIVE_BYTES, ARCHIVE_CAPTURES, SPARSE, FAN_IN = 256 << 20, 100_000, 256, 64
 #: Time of the capture with id 0; each id is a second later. Used where the input has no time of its own.
 EPOCH = datetime(2024, 1, 1, tzinfo=UTC)
 HTTP_HEAD = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
@@ -94,7 +97,7 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
         context = TaskContext.get()
         system, root = _open(folder)
         system.create_dir(root, recursive=True)
-        part, out, size, path, done = 0, None, 0, "", []
+        part, out, size, held, path, done = 0, None, 0, 0, "", []
 
         def finish() -> None:
             out.close()
@@ -106,14 +109,15 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
                 if out is None:
                     # Another attempt at this task writes files of its own; only returned paths are read.
                     path = f"{root}/capture-{context.partitionId():06d}-{context.taskAttemptId()}-{part:04d}.warc.gz.open"
-                    out, size, part = system.open_output_stream(path, compression=None), 0, part + 1
+                    out, size, held, part = system.open_output_stream(path, compression=None), 0, 0, part + 1
                     out.write(_member(_info(path)))
                 date = (EPOCH + timedelta(seconds=min(max(id_ or 0, 0), 10**10))).strftime("%Y-%m-%dT%H:%M:%SZ")
                 capture = "" if id_ is None else str(id_)
                 refers = None if original is None else (_record_id(str(original)), str(original))
-                out.write(_member(record("response" if refers is None else "revisit", _record_id(capture), url, date, sha1_base32(payload), payload, refers, capture)))
-                size += len(payload)
-                if size >= archive_bytes:
+                member = _member(record("response" if refers is None else "revisit", _record_id(capture), url, date, sha1_base32(payload), payload, refers, capture))
+                out.write(member)
+                size, held = size + len(member), held + 1
+                if size >= archive_bytes or held >= ARCHIVE_CAPTURES:
                     finish()
                     out = None
         if out is not None:
@@ -188,14 +192,19 @@ def captures_of(path: str) -> list[dict]:
     return out
 
 
+def _place(capture: dict) -> tuple[str, str, int]:
+    """What ranges are cut by."""
+    return (capture["key"], capture["time"], -1 if capture["id"] is None else capture["id"])
+
+
 def _order(capture: dict) -> tuple:
-    return (capture["key"], capture["time"], -1 if capture["id"] is None else capture["id"], capture["path"], capture["offset"])
+    return (*_place(capture), capture["path"], capture["offset"])
 
 
-def write_run(path: str, captures: Iterator[dict]) -> list[str]:
-    """A run: blocks of sorted captures, each compressed, then the sparse index of their first keys and its place."""
+def write_run(path: str, captures: Iterator[dict]) -> None:
+    """A run: blocks of sorted captures, each compressed, then the sparse index of their first places and where it stands."""
     system, where = _open(path)
-    index, keys, block, at = [], [], [], 0
+    index, firsts, block, at = [], [], [], 0
     with system.open_output_stream(where, compression=None) as out:
 
         def flush() -> None:
@@ -208,19 +217,18 @@ def write_run(path: str, captures: Iterator[dict]) -> list[str]:
 
         for c in captures:
             if not block:
-                keys.append(c["key"])
+                firsts.append(_place(c))
             block.append(json.dumps([c[k] for k in FIELDS]))
             if len(block) == SPARSE:
                 flush()
         if block:
             flush()
-        tail = zlib.compress(json.dumps([keys, index]).encode())
+        tail = zlib.compress(json.dumps([firsts, index]).encode())
         out.write(tail + struct.pack("<QI", at, len(tail)))
-    return keys
 
 
 class RunReader:
-    """Captures of a run with low <= key < high; a block at a time is in memory."""
+    """Captures of a run with low <= place < high; a block at a time is in memory."""
 
     def __init__(self, path: str):
         system, where = _open(path)
@@ -229,17 +237,18 @@ class RunReader:
         self.file.seek(size - 12)
         at, n = struct.unpack("<QI", self.file.read(12))
         self.file.seek(at)
-        self.keys, self.places = json.loads(zlib.decompress(self.file.read(n)))
+        firsts, self.offsets = json.loads(zlib.decompress(self.file.read(n)))
+        self.firsts = [tuple(x) for x in firsts]
 
-    def between(self, low: str | None, high: str | None) -> Iterator[dict]:
-        first = 0 if low is None else max(0, bisect_left(self.keys, low) - 1)
-        last = len(self.keys) if high is None else bisect_right(self.keys, high)
+    def between(self, low: tuple[str, str, int] | None, high: tuple[str, str, int] | None) -> Iterator[dict]:
+        first = 0 if low is None else max(0, bisect_left(self.firsts, low) - 1)
+        last = len(self.firsts) if high is None else bisect_right(self.firsts, high)
         for k in range(first, last):
-            self.file.seek(self.places[k])
+            self.file.seek(self.offsets[k])
             (n,) = struct.unpack("<I", self.file.read(4))
             for line in zlib.decompress(self.file.read(n)).decode().split("\n"):
                 c = dict(zip(FIELDS, json.loads(line), strict=True))
-                if (low is None or c["key"] >= low) and (high is None or c["key"] < high):
+                if (low is None or _place(c) >= low) and (high is None or _place(c) < high):
                     yield c
 
 
@@ -281,8 +290,13 @@ class LoserTree:
             self._play(winner)
 
 
+def _each_alone(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A table with a partition for each row, for rows that are pieces of work."""
+    return spark.createDataFrame(spark.sparkContext.parallelize(rows, max(1, len(rows))), schema)
+
+
 def read_archives(archives: DataFrame, folder: str) -> DataFrame:
-    """Read each archive whole and write its run; returns path, number of captures and evenly spaced keys of each run."""
+    """Read each archive whole and write its run; returns path, number of captures and evenly spaced places of each run."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, root = _open(folder)
@@ -292,23 +306,22 @@ def read_archives(archives: DataFrame, folder: str) -> DataFrame:
                 captures = sorted(captures_of(path), key=_order)
                 run = f"{folder}/{path.rsplit('/', 1)[1]}-{TaskContext.get().taskAttemptId()}.run"
                 write_run(run, iter(captures))
-                yield _run_row(run, len(captures), [c["key"] for c in captures[:: max(1, len(captures) // 16)]])
+                places = [dict(zip(("key", "time", "id"), _place(c))) for c in captures[:: max(1, len(captures) // 16)]]
+                yield pa.RecordBatch.from_arrays([pa.array([run]), pa.array([len(captures)], pa.int64()), pa.array([places], _PLACES)], ["path", "n", "places"])
 
-    spread = archives.repartition(max(1, archives.sparkSession.sparkContext.defaultParallelism), "path")
+    spread = _each_alone(archives.sparkSession, [(r.path,) for r in archives.toLocalIterator()], "path string")
     return materialise(spread.mapInArrow(read, RUN), "runs")
 
 
-RUN = "path string, n long, keys array<string>"
-
-
-def _run_row(path: str, n: int, keys: list[str]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([path]), pa.array([n], pa.int64()), pa.array([keys], pa.list_(pa.string()))], ["path", "n", "keys"])
+RUN = "path string, n long, places array<struct<key: string, time: string, id: long>>"
+_PLACES = pa.list_(pa.struct([("key", pa.string()), ("time", pa.string()), ("id", pa.int64())]))
 
 
 def merge_runs(spark: SparkSession, runs: DataFrame, folder: str, fan_in: int = FAN_IN) -> DataFrame:
-    """All captures of the runs in global order: range numbers the ranges of keys, place counts within a range.
+    """All captures of the runs in global order: position counts from 0, range numbers the ranges of places.
 
-    Ranges are cut at quantiles of the runs' evenly spaced keys, a few for each run, which is what the driver holds.
+    Ranges are cut at quantiles of the runs' evenly spaced places. The driver holds the runs' paths, a few numbers for
+    each range, and no capture.
     """
     found = [(r.path, r.n) for r in runs.select("path", "n").toLocalIterator()]
     passes = 0
@@ -323,24 +336,23 @@ def merge_runs(spark: SparkSession, runs: DataFrame, folder: str, fan_in: int =
                     write_run(own, iter(LoserTree([RunReader(p).between(None, None) for p in paths], _order)))
                     yield pa.RecordBatch.from_arrays([pa.array([target]), pa.array([own])], ["target", "path"])
 
-        merged = materialise(spark.createDataFrame(groups, "target string, paths array<string>").repartition(len(groups), "target").mapInArrow(merge, "target string, path string"), "pass")
+        merged = materialise(_each_alone(spark, groups, "target string, paths array<string>").mapInArrow(merge, "target string, path string"), "pass")
         names = {r.target: r.path for r in merged.toLocalIterator()}
         found = [(names[t], totals[k]) for k, (t, _) in enumerate(groups)]
         passes += 1
     paths = [p for p, n in found if n]
+    # Range bounds by a bounded sketch of the runs' places, found on the executors.
+    at = runs.select(F.explode("places").alias("at")).select("at.key", "at.time", "at.id")
     tasks = max(1, spark.sparkContext.defaultParallelism)
-    # Range bounds by a bounded sketch of the runs' keys, found on the executors.
-    marks = runs.select(F.explode("keys").alias("key")).groupBy().agg(F.max("key").alias("top"), F.count("*").alias("n")).first()
-    bounds: list[str] = []
-    if marks and marks.n:
-        numbered = runs.select(F.explode("keys").alias("key")).repartitionByRange(tasks, "key")
-        bounds = sorted({r.key for r in numbered.groupBy(F.spark_partition_id().alias("p")).agg(F.min("key").alias("key")).toLocalIterator()})[1:]
-    cuts = [(i, low, high) for i, (low, high) in enumerate(zip([None, *bounds], [*bounds, None]))]
+    firsts = at.repartitionByRange(tasks, "key", "time", "id").groupBy(F.spark_partition_id().alias("p")).agg(F.min(F.struct("key", "time", "id")).alias("at"))
+    bounds = sorted({tuple(r["at"]) for r in firsts.toLocalIterator()})[1:]
+    cuts = [(i, *low, *high) for i, (low, high) in enumerate(zip([_OPEN, *bounds], [*bounds, _OPEN]))]
 
     def ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("range", pa.int64()), ("place", pa.int64()), ("key", pa.string()), ("time", pa.string()), ("id", pa.int64()), ("n", pa.int64()), ("digest", pa.string()), ("kind", pa.string()), ("refers", pa.int64()), ("path", pa.string()), ("offset", pa.int64())])
         for batch in batches:
-            for number, low, high in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+            for number, *ends in zip(*(batch.column(k).to_pylist() for k in range(7)), strict=True):
+                low, high = (None if x[0] is None else tuple(x) for x in (ends[:3], ends[3:]))
                 rows = []
                 for place, c in enumerate(LoserTree([RunReader(p).between(low, high) for p in paths], _order)):
                     rows.append(c | {"range": number, "place": place})
@@ -350,8 +362,16 @@ def merge_runs(spark: SparkSession, runs: DataFrame, folder: str, fan_in: int =
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, schema)
 
-    todo = spark.createDataFrame(cuts, "range long, low string, high string").repartition(len(cuts), "range")
-    return todo.mapInArrow(ranges, "range long, place long, key string, time string, id long, n long, digest string, kind string, refers long, path string, offset long")
+    todo = _each_alone(spark, cuts, "range long, low_key string, low_time string, low_id long, high_key string, high_time string, high_id long")
+    merged = materialise(todo.mapInArrow(ranges, "range long, place long, key string, time string, id long, n long, digest string, kind string, refers long, path string, offset long"), "merged")
+    sizes = {r["range"]: r["n"] for r in merged.groupBy("range").agg(F.count("*").alias("n")).toLocalIterator()}
+    before = list(itertools.accumulate((sizes.get(k, 0) for k in range(len(cuts))), initial=0))
+    starts = spark.createDataFrame(list(enumerate(before[:-1])), "range long, before long")  # a row for each of `tasks` ranges
+    return merged.join(F.broadcast(starts), "range").select("range", (F.col("before") + F.col("place")).alias("position"), "key", "time", "id", "n", "digest", "kind", "refers", "path", "offset")
+
+
+#: No bound.
+_OPEN = (None, None, None)
 
 
 def archive_round_trip(pages: DataFrame, least: int = 0, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> DataFrame:

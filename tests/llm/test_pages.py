@@ -28,7 +28,8 @@ def test_archives_round_trip(spark):
         keeps = best[h] in (r.id, -1)
         assert (r.n, r.digest, r.kind, r.refers) == (len(h.encode()), base64.b32encode(hashlib.sha1(h.encode()).digest()).decode(), "response" if keeps else "revisit", None if keeps else best[h])
     assert len(got) == len(rows)
-    order = [(r.key, r.time, -1 if r.id is None else r.id) for r in sorted(got, key=lambda r: (r.range, r.place))]
+    assert sorted(r.position for r in got) == list(range(len(rows)))
+    order = [(r.key, r.time, -1 if r.id is None else r.id) for r in sorted(got, key=lambda r: r.position)]
     assert order == sorted(order)
     assert archive_round_trip(pages.where("1 = 0")).count() == 0
     kinds = {r.id: r.kind for r in archive_round_trip(pages, least=6).collect()}
@@ -44,8 +45,28 @@ def test_merging_in_passes(spark):
     assert runs.count() > 2
     got = merge_runs(spark, runs, f"{folder}/r", fan_in=2).collect()
     assert sorted(r.id or 0 for r in got) == sorted(r[0] or 0 for r in rows)
-    order = [(r.key, r.time) for r in sorted(got, key=lambda r: (r.range, r.place))]
-    assert order == sorted(order)
+    order = [(r.key, r.time) for r in sorted(got, key=lambda r: r.position)]
+    assert order == sorted(order) and sorted(r.position for r in got) == list(range(len(rows)))
+
+
+def test_one_url_is_cut_into_ranges_and_copies_count_by_what_is_written(spark, monkeypatch):
+    from skein.llm import warc
+
+    monkeypatch.setattr(warc, "ARCHIVE_CAPTURES", 50)
+    rows = [(k if k % 7 else None, "http://a.example/x" if k % 3 else None, "same" if k % 2 else None) for k in range(600)] + [(1, "http://a.example/x", "same")] * 2
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2)
+    folder = new_path(spark, "warc-test")
+    archives = write_archives(pages, f"{folder}/a")
+    assert archives.count() >= 12
+    runs = read_archives(archives, f"{folder}/r")
+    assert runs.agg({"n": "max"}).first()[0] <= 50
+    got = warc.merge_runs(spark, runs, f"{folder}/r").collect()
+    assert [r.position for r in sorted(got, key=lambda r: r.position)] == list(range(602))
+    order = [(r.key, r.time, -1 if r.id is None else r.id) for r in sorted(got, key=lambda r: r.position)]
+    assert order == sorted(order) and len({r["range"] for r in got if r.key == "example,a)/x"}) > 1
+    best = {t or "": max((i for i, _, x in rows if (x or "") == (t or "") and i is not None)) for _, _, t in rows}
+    for r in got:
+        assert (r.kind == "response") == (r.id in best.values()), r
 
 
 def test_archive_is_a_valid_file(spark, tmp_path):
@@ -73,11 +94,12 @@ def test_loser_tree():
 
 
 def test_run_reader(tmp_path):
-    captures = [dict.fromkeys(FIELDS) | {"key": f"k{i // 3:05d}", "offset": i} for i in range(2000)]
+    captures = [dict.fromkeys(FIELDS) | {"key": f"k{i // 3:05d}", "time": "t", "id": i, "offset": i} for i in range(2000)]
     write_run(f"file://{tmp_path}/run", iter(captures))
     reader = RunReader(f"file://{tmp_path}/run")
-    for low, high in ((None, None), ("k00100", "k00300"), ("k00085", None), ("a", "k00001"), ("z", None)):
-        assert [c["offset"] for c in reader.between(low, high)] == [c["offset"] for c in captures if (low is None or c["key"] >= low) and (high is None or c["key"] < high)]
+    at = lambda key, id_=-1: (key, "t", id_)
+    for low, high in ((None, None), (at("k00100"), at("k00300")), (at("k00085"), None), (at("a"), at("k00001", 4)), (at("k00001", 4), at("k00003", 10)), (at("z"), None)):
+        assert [c["offset"] for c in reader.between(low, high)] == [c["offset"] for c in captures if (low is None or (c["key"], "t", c["id"]) >= low) and (high is None or (c["key"], "t", c["id"]) < high)]
 
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var a="</p><p>no";</script></head><body>
@@ -115,3 +137,68 @@ def test_minimum_cut_is_the_least_of_all_labellings():
         edges = [(i, j, r.choice([0.25, 0.5, 1.5])) for i in range(n) for j in range(i + 1, n) if r.random() < 0.5]
         cost = lambda x: sum(-g if y and g < 0 else g if not y and g > 0 else 0 for g, y in zip(gains, x)) + sum(w for a, b, w in edges if x[a] != x[b])  # noqa: E731,B023
         assert cost(minimum_cut(gains, edges)) == pytest.approx(min(map(cost, itertools.product([False, True], repeat=n))))
+
+
+def blocks_by_hand(html):
+    """The main text of the tables' pages, whose only article says all: the text of its heading and paragraphs."""
+    import html as entities
+    import re
+
+    inside = re.search(r"<article>(.*?)</article>", html or "", re.S)
+    parts = re.split(r"</?(?:p|h\d|ul|ol|li|div|blockquote|table|tr|td|th|pre|section)\b[^>]*>", inside[1]) if inside else []
+    texts = [re.sub(r"\s+", " ", entities.unescape(re.sub(r"<[^>]+>", "", re.sub(r"<br\s*/?>", " ", re.sub(r"<!--.*?-->|<(script|style)\b.*?</\1>", "", p, flags=re.S))))).strip() for p in parts]
+    return "\n\n".join(t for t in texts if t)
+
+
+def test_pages_of_the_tables_against_a_plain_version(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    html = {r.page_id: r.html for r in rows.collect()}
+    got = {r.page_id: r.text for r in extract_pages(rows).collect()}
+    assert got.keys() == html.keys()
+    for i, text in got.items():
+        assert text == blocks_by_hand(html[i]), i
+
+
+PARAGRAPHS = "<p>A first paragraph that is part of it.</p><p>A second paragraph, which is longer than that.</p>"
+ALL = "A first paragraph that is part of it.\n\nA second paragraph, which is longer than that."
+
+
+@pytest.mark.parametrize(
+    ("html", "expect"),
+    [
+        ("<p title=it's>A first paragraph that is part of it.</p><p>A second paragraph, which is longer than that.</p>", ALL),
+        ('<p title="x>A first paragraph that is part of it.</p><p>A second paragraph, which is longer than that.</p>', ALL),
+        ('<p class=a"" id=\'b\'c>A first paragraph that is part of it.</p><p =x>A second paragraph, which is longer than that.</p>', ALL),
+        (f'<div class="elementor-widget-container">{PARAGRAPHS}</div>', ALL),
+        (f'<div class="text-widget">{PARAGRAPHS}</div>', ALL),
+        (f'<div class="widget-text"><article>{PARAGRAPHS}</article></div>', ALL),
+        (f'<article><h1 class="page-header">Heading</h1>{PARAGRAPHS}</article>', "Heading\n\n" + ALL),
+        (f'<article>{PARAGRAPHS}<ul><li><a href=a>One link</a><li><a href=b>Another</a></ul></article>', ALL + "\n\nOne link\n\nAnother"),
+        (f'<div class="layout has-sidebar"><div id=sidebar><p>Some words beside it all.</p></div><main>{PARAGRAPHS}</main></div>', ALL),
+        (f'<form action=/><nav><a href=/>Home</a></nav><article>{PARAGRAPHS}</article></form>', ALL),
+        (f'<article>{PARAGRAPHS}<form><p>Please write to us, we would like to hear it.</p></form></article>', ALL),
+        (f'<article>{PARAGRAPHS}</article><div class="comments"><article class=comment><p>I have liked this very much, thank you for all of it.</p></article></div>', ALL),
+        (f'<div class=content>{PARAGRAPHS}</div><div id="comment-list"><article><p>I have liked this very much, thank you for all of it.</p></article></div>', ALL),
+        (f'<div class="header"><h1>The site</h1></div><article>{PARAGRAPHS}</article>', ALL),
+        (f'<article>{PARAGRAPHS}<button>Send <b>it</b></button><svg><text>no</text></svg></article>', ALL),
+    ],
+)
+def test_main_text_of_odd_pages(html, expect):
+    assert main_text(html) == expect
+
+
+def test_deep_and_long_pages_take_time_in_proportion():
+    import time
+
+    began = time.time()
+    assert main_text("<div>" * 5000 + PARAGRAPHS + "</div>" * 5000) == ALL
+    assert main_text("<article>" + PARAGRAPHS * 5000 + "</article>") == "\n\n".join([ALL] * 5000)
+    assert main_text("<article>" + "<p>unclosed <b>words" * 3000 + "</article>").count("unclosed") == 3000
+    assert time.time() - began < 5
+
+
+def test_equal_pages_in_several_rows_are_each_extracted(spark):
+    rows = [(1, None, PARAGRAPHS), (1, "u", PARAGRAPHS), (None, "u", PARAGRAPHS), (None, None, None)]
+    table = spark.createDataFrame([(*r, "t", 3) for r in rows], "page_id long, url string, html string, text string, n_chars int")
+    got = sorted(((r.page_id, r.url, r.text) for r in extract_pages(table).collect()), key=str)
+    assert got == sorted(((i, u, ALL if h else "") for i, u, h in rows), key=str)
