@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import html as entities
 import re
-from collections import deque
+from collections import Counter, deque
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -27,9 +27,10 @@ from pyspark.sql import functions as F
 RAW = {"script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes", "plaintext"}
 # Elements whose content is never main text:
 SKIPPED = RAW | {"head", "noscript", "template", "svg", "math", "canvas", "object", "form", "button", "select", "input", "datalist", "dialog", "audio", "video"}
+HIDING = SKIPPED - {"form"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 BLOCKS = {
-    "address", "article", "aside", "blockquote", "body", "caption", "center", "dd", "details", "dir", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "h1", "h2", "h3",
+    "address", "article", "aside", "blockquote", "body", "caption", "center", "dd", "details", "dir", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3",
     "h4", "h5", "h6", "header", "hgroup", "hr", "html", "legend", "li", "main", "menu", "nav", "ol", "p", "pre", "search", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul",
 }
 # An element of the first kind that begins ends an open one of the second kind, within the scope of the third.
@@ -37,88 +38,146 @@ HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 SCOPE = {"html", "body", "table", "td", "th", "caption", "button", "object", "template"}
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
-ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]*)))?""")
+# A quote opens a value only behind an equals sign; elsewhere it is a letter of a name, and so is one that nothing closes.
+_ATTRIBUTES = r"""(?:[\s/]++|[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+)?+)?+)*+"""
+TOKEN = re.compile(rf"<!--.*?(?:--!?>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)|<([a-zA-Z][^\s/>]*)({_ATTRIBUTES})(?:>|\Z)", re.S)
+ATTRIBUTE = re.compile(r"""([^\s/>][^\s/>=]*+)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>"'][^\s>]*+))?+)?+""")
 SPACE = re.compile(r"\s+")
 NAME_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 # The classifier's rules: score of a block in an element of the kind, added over its ancestors (content above 0).
 LANDMARK = {"nav": -8.0, "header": -5.0, "footer": -8.0, "aside": -8.0, "menu": -6.0, "search": -8.0, "address": -3.0, "article": 4.0, "main": 3.0, "figcaption": 0.5, "blockquote": 0.5, "pre": 1.0}
 ROLES = {"navigation": -8.0, "banner": -6.0, "contentinfo": -8.0, "complementary": -8.0, "search": -8.0, "form": -8.0, "dialog": -8.0, "alertdialog": -8.0, "alert": -6.0, "menu": -8.0, "menubar": -8.0, "toolbar": -8.0, "note": -1.0, "main": 3.0, "article": 4.0}
-BAD_NAMES = {
-    "ad", "ads", "advert", "advertisement", "adverts", "advertising", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "consent", "cookie", "cookies", "copyright", "discussion", "disqus", "footer", "gdpr",
-    "header", "login", "masthead", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "pager", "pagination", "popup", "promo", "promoted", "recommended", "related", "replies", "reply", "respond", "search",
-    "share", "sharing", "sidebar", "signup", "skip", "social", "sponsor", "sponsored", "subscribe", "tags", "toolbar", "widget",
+# Words of names, by what they speak of. Those of a header say nothing about a heading or within an article.
+HEADER_NAMES = {"header", "masthead", "banner"}
+COMMENT_NAMES = {"comment", "comments", "discussion", "disqus", "replies", "reply", "respond"}
+BAD_NAMES = HEADER_NAMES | COMMENT_NAMES | {
+    "ad", "ads", "advert", "advertisement", "adverts", "advertising", "breadcrumb", "breadcrumbs", "consent", "cookie", "cookies", "copyright", "footer", "gdpr",
+    "login", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "pager", "pagination", "popup", "promo", "promoted", "recommended", "related", "search",
+    "share", "sharing", "sidebar", "signup", "skip", "social", "sponsor", "sponsored", "subscribe", "tags", "toolbar",
 }
 GOOD_NAMES = {"article", "content", "entry", "main", "post", "story", "text", "body"}
 BAD_NAME, GOOD_NAME, HIDDEN = -8.0, 1.5, -12.0
 #: An element with such a score or less is no part of the article around it.
 FOREIGN = -3.0
-BIAS, PER_WORD, MOST_FOR_WORDS, SENTENCE, LINKS = -0.5, 0.05, 2.0, 0.75, -4.0
+BIAS, PER_WORD, MOST_FOR_WORDS, SENTENCE = -0.5, 0.05, 2.0, 0.75
+#: For a block that is all links; within an article, where lists of links belong to it.
+LINKS, LINKS_IN_ARTICLE = -4.0, -1.0
 # Smoothness: between neighbours, and by steps through the tree to the next block; nothing beyond FAR steps.
 NEIGHBOUR, PROXIMITY, FAR = 0.25, 1.0, 6
 
 
-def _score_of(tag: str, attributes: str) -> float | None:
+class _Element:
+    """An element of the tree. whole: a heading, main part or article of the page stands in it."""
+
+    __slots__ = ("tag", "attributes", "parent", "whole", "score", "own", "article")
+
+    def __init__(self, tag: str, attributes: str, parent: _Element | None):
+        self.tag, self.attributes, self.parent, self.whole = tag, attributes, parent, False
+        self.score: float | None = None
+        self.own: float | None = None
+        self.article = False
+
+
+class _Block:
+    __slots__ = ("parts", "linked", "element")
+
+    def __init__(self, element: _Element):
+        self.parts: list[str] = []
+        self.linked, self.element = 0, element
+
+
+def _names(found: dict[str, str]) -> set[str]:
+    return {x.lower() for key in ("class", "id", "aria-label", "data-role") for x in NAME_PART.findall(found.get(key, ""))}
+
+
+def _attributes(source: str) -> dict[str, str]:
+    return {m[1].lower(): entities.unescape(m[2] or m[3] or m[4] or "") for m in ATTRIBUTE.finditer(source)} if source.strip() else {}
+
+
+def _own_score(e: _Element, in_article: bool) -> float | None:
     """What an element adds to the score of the blocks in it; None if nothing in it is text."""
-    if tag in SKIPPED:
+    if e.tag in SKIPPED and not (e.tag == "form" and e.whole):  # a form around the whole page is no form
         return None
-    score = LANDMARK.get(tag, 0.0)
-    if attributes.strip():
-        found = {m[1].lower(): entities.unescape(m[2] or m[3] or m[4] or "") for m in ATTRIBUTE.finditer(attributes)}
+    score = 0.0 if e.tag == "header" and in_article else LANDMARK.get(e.tag, 0.0)
+    found = _attributes(e.attributes)
+    if found:
         score += sum(ROLES.get(r, 0.0) for r in found.get("role", "").lower().split()[:1])
         if "hidden" in found or found.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", found.get("style", ""), re.I):
             score += HIDDEN
-        if tag not in ("body", "html", "article", "main"):
-            names = {x.lower() for key in ("class", "id", "aria-label", "data-role") for x in NAME_PART.findall(found.get(key, ""))}
-            score += BAD_NAME if names & BAD_NAMES else GOOD_NAME if names & GOOD_NAMES else 0.0
+        if e.tag not in ("body", "html", "main"):
+            names = _names(found)
+            bad = names & BAD_NAMES
+            if in_article or e.tag in HEADINGS or e.tag == "article":
+                bad -= HEADER_NAMES
+            if e.whole and not bad & HEADER_NAMES:  # what holds the page's own heading or article is a frame around it
+                bad = set()
+            score += BAD_NAME if bad else GOOD_NAME if names & GOOD_NAMES and e.tag != "article" else 0.0
     return score
 
 
-class _Block:
-    __slots__ = ("parts", "linked", "path", "tag", "score")
-
-    def __init__(self, path: tuple[int, ...], tag: str, score: float):
-        self.parts, self.linked, self.path, self.tag, self.score = [], 0, path, tag, score
+def _score(elements: list[_Element]) -> None:
+    """Scores of all elements; parents stand before their children."""
+    for e in elements:
+        above, in_article = (e.parent.score, e.parent.article) if e.parent else (0.0, False)
+        if above is None:
+            continue
+        e.own = _own_score(e, in_article)
+        if e.own is None:
+            continue
+        if e.own <= FOREIGN:
+            above = min(above, 0.0)  # what stands in an article need not belong to it
+        e.score = above + e.own
+        e.article = e.score > 0 and (in_article or e.tag in ("article", "main"))
 
 
-def blocks_of(html: str) -> list[tuple[str, float, tuple[int, ...]]]:
-    """Text, score and place in the tree of each block that has text, in page order."""
-    stack: list[tuple[str, int, float | None]] = []  # tag, number of the element, score so far
+def parsed(html: str) -> tuple[list[_Element], list[_Block]]:
+    """The elements, parents first, and the blocks of text in page order."""
+    elements: list[_Element] = []
+    stack: list[_Element] = []
+    opened: Counter[str] = Counter()
     out: list[_Block] = []
     block: _Block | None = None
-    at = number = 0
-    links = 0
+    at = articles = hidden = 0
 
     def text(data: str) -> None:
         nonlocal block
-        if (score := stack[-1][2] if stack else 0.0) is None or not data:
+        if not data or hidden:
             return
         if block is None:
             if not data.strip():
                 return
-            outer = [x for x in stack if x[0] in BLOCKS]
-            block = _Block(tuple(x[1] for x in outer), outer[-1][0] if outer else "", score)
+            block = _Block(stack[-1] if stack else root)
             out.append(block)
         data = entities.unescape(data)
         block.parts.append(data)
-        if links:
+        if opened["a"]:
             block.linked += len(data)
 
     def close(k: int) -> None:
-        nonlocal block, links
-        if any(x[0] in BLOCKS for x in stack[k:]):
-            block = None
-        links -= sum(x[0] == "a" for x in stack[k:])
+        nonlocal block, hidden
+        for e in stack[k:]:
+            opened[e.tag] -= 1
+            hidden -= e.tag in HIDING
+            if e.tag in BLOCKS:
+                block = None
         del stack[k:]
 
     def close_in(tags: set[str], scope: set[str]) -> None:
+        if not any(opened[t] for t in tags):
+            return
         for k in range(len(stack) - 1, -1, -1):
-            if stack[k][0] in tags:
+            if stack[k].tag in tags:
                 return close(k)
-            if stack[k][0] in scope:
+            if stack[k].tag in scope:
                 return
 
+    def holds_the_page(e: _Element | None) -> None:
+        while e is not None and not e.whole:
+            e.whole, e = True, e.parent
+
+    root = _Element("", "", None)
+    elements.append(root)
     while at < len(html):
         begin = html.find("<", at)
         if begin < 0:
@@ -133,7 +192,7 @@ def blocks_of(html: str) -> list[tuple[str, float, tuple[int, ...]]]:
         at = m.end()
         if m[1]:
             tag = m[1].lower()
-            if tag == "p" and not any(x[0] == "p" for x in stack):
+            if tag == "p" and not opened["p"]:
                 block = None
             elif tag == "br":
                 text(" ")
@@ -144,7 +203,7 @@ def blocks_of(html: str) -> list[tuple[str, float, tuple[int, ...]]]:
             if tag in BLOCKS:
                 close_in({"p"}, SCOPE)
                 block = None
-                if tag in HEADINGS and stack and stack[-1][0] in HEADINGS:
+                if tag in HEADINGS and stack and stack[-1].tag in HEADINGS:
                     close(len(stack) - 1)
             if tag in CLOSES:
                 close_in(*CLOSES[tag])
@@ -156,27 +215,34 @@ def blocks_of(html: str) -> list[tuple[str, float, tuple[int, ...]]]:
                 continue
             if tag == "body":
                 close_in({"head"}, set())
-            own = _score_of(tag, m[3] or "")
-            above = stack[-1][2] if stack else 0.0
-            if own is not None and above is not None:
-                if tag == "header" and any(x[0] in ("article", "main") for x in stack):
-                    own -= LANDMARK[tag]  # an article's own heading
-                if own <= FOREIGN:
-                    above = min(above, 0.0)  # what stands in an article need not belong to it
-            number += 1
-            stack.append((tag, number, None if own is None or above is None else above + own))
-            links += tag == "a"
+            e = _Element(tag, m[3] or "", stack[-1] if stack else root)
+            elements.append(e)
+            stack.append(e)
+            opened[tag] += 1
+            hidden += tag in HIDING
+            if tag == "article":
+                articles += 1
+            if tag in ("main", "h1") or tag == "article" and articles == 1 and not any(_names(_attributes(x.attributes)) & COMMENT_NAMES for x in stack):
+                holds_the_page(e.parent)
             if tag in RAW and not (m[3] or "").endswith("/"):
                 end = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(html, at)
                 at = end.start() if end else len(html)
+    return elements, out
+
+
+def blocks_of(html: str) -> list[tuple[str, float, _Element]]:
+    """Text, score and element of each block that has text, in page order."""
+    elements, out = parsed(html)
+    _score(elements)
     found = []
     for b in out:
         joined = SPACE.sub(" ", "".join(b.parts)).strip()
-        if joined:
+        if joined and b.element.score is not None:
             words = joined.count(" ") + 1
-            score = b.score + BIAS + min(PER_WORD * words, MOST_FOR_WORDS) + LINKS * min(1.0, b.linked / max(1, len("".join(b.parts).strip())))
+            links = (LINKS_IN_ARTICLE if b.element.article else LINKS) * min(1.0, b.linked / max(1, len("".join(b.parts).strip())))
+            score = b.element.score + BIAS + min(PER_WORD * words, MOST_FOR_WORDS) + links
             score += SENTENCE if joined[-1] in ".!?…。！？»”\"" else 0.0
-            found.append((joined, score, b.path))
+            found.append((joined, score, b.element))
     return found
 
 
@@ -247,45 +313,36 @@ def minimum_cut(gains: list[float], edges: list[tuple[int, int, float]]) -> list
                 break
 
 
-def graph_of(blocks: list[tuple[str, float, tuple[int, ...]]]) -> tuple[list[float], list[tuple[int, int, float]], list[int]]:
-    """Gains, edges and the node of each block. Neighbours in one element with the same sign of score are one node."""
-    node_of: list[int] = []
-    gains: list[float] = []
-    places: list[tuple[int, ...]] = []
-    for _, score, path in blocks:
-        if gains and places[-1][:-1] == path[:-1] and gains[-1] * score > 0:
-            gains[-1] += score
-        else:
-            gains.append(score)
-            places.append(path)
-        node_of.append(len(gains) - 1)
+def graph_of(blocks: list[tuple[str, float, _Element]]) -> tuple[list[float], list[tuple[int, int, float]]]:
+    """Gains of the blocks, and edges: to the block before, and to the last one that stands near in the tree."""
     edges = []
-    last_in: dict[tuple[int, ...], int] = {}
-    for i, path in enumerate(places):
-        near = {i - 1} if i else set()
-        for depth in range(len(path), max(-1, len(path) - FAR), -1):
-            if (j := last_in.get(path[:depth])) is not None:
-                near.add(j)
+    last_in: dict[int, tuple[int, int]] = {}  # by element, the last block in it and its steps up to there
+    for i, (_, _, element) in enumerate(blocks):
+        ancestors, e = [], element
+        while e is not None and len(ancestors) <= FAR:
+            if e.tag in BLOCKS or e.parent is None:
+                ancestors.append(e)
+            e = e.parent
+        near = None
+        for up, e in enumerate(ancestors):
+            if (met := last_in.get(id(e))) is not None:
+                near = (met[0], up + met[1])
                 break
-        for j in near:
-            other = places[j]
-            shared = next((k for k, (x, y) in enumerate(zip(path, other)) if x != y), min(len(path), len(other)))
-            steps = len(path) + len(other) - 2 * shared
-            weight = (NEIGHBOUR if j == i - 1 else 0.0) + (PROXIMITY / (1 + steps) if steps <= FAR else 0.0)
-            if weight:
-                edges.append((j, i, weight))
-        for depth in range(len(path) + 1):
-            last_in[path[:depth]] = i
-    return gains, edges, node_of
+        weights = {i - 1: NEIGHBOUR} if i else {}
+        if near and near[1] <= FAR:
+            weights[near[0]] = weights.get(near[0], 0.0) + PROXIMITY / (1 + near[1])
+        edges += [(j, i, w) for j, w in weights.items()]
+        for up, e in enumerate(ancestors):
+            last_in[id(e)] = (i, up)
+    return [score for _, score, _ in blocks], edges
 
 
 def main_text(html: str | None) -> str:
     blocks = blocks_of(html or "")
     if not blocks:
         return ""
-    gains, edges, node_of = graph_of(blocks)
-    content = minimum_cut(gains, edges)
-    return "\n\n".join(text for (text, _, _), node in zip(blocks, node_of, strict=True) if content[node])
+    content = minimum_cut(*graph_of(blocks))
+    return "\n\n".join(text for (text, _, _), kept in zip(blocks, content, strict=True) if kept)
 
 
 def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
