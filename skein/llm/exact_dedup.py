@@ -2,11 +2,12 @@
 
 A document's key is its normalised text in UTF-8 behind its length as the first digit, so that the texts of a group end
 together. The first pass splits all documents by the length and the first bytes; documents alone in their group are done.
-What is left is split by the next bytes, strides growing, until each group is a single document or has ended. Equality is
-decided by the bytes themselves; a digest is only ever an output column.
+What is left is split by the next bytes, strides growing, until each group is a single document or has ended. A group goes
+on under a number of its own; equality is decided by the bytes themselves, and a digest is only ever an output column.
 
-Every split counts its groups with partial aggregates and joins the counts back, so a group that holds a third of all
-rows meets in no task. Rows that go on are written to the shared folder between splits.
+Every split counts its groups with partial aggregates and writes the counts of those with copies; they are joined back as a
+table of their own, which is broadcast where it is small and otherwise joined with hot keys split by Spark's adaptive plans.
+Texts are normalised once; rows that go on are written to the shared folder between splits.
 
 Null texts count as empty, and empty texts are one group. Rows with a null id or with the same id are rows of their own;
 of equal texts, the longest original, then the smallest id stays (a null id stays only where no other does; of repeated
@@ -20,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skein.llm.rows import text_key, without
-from skein.llm.storage import discard, materialise
+from skein.llm.storage import materialise
 
 #: Bytes of the first split, and how the stride grows from split to split.
 FIRST_STRIDE, GROWTH = 64, 8
@@ -36,45 +37,27 @@ def normalised(text: Column) -> Column:
 def marked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, t (its text's key), keep_id, group_size, kept, text_sha256."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    raw = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_key(F.col(text_col)).alias("t"), F.length(text).alias("cp"), normalised(text).alias("norm"))
-    digit = [F.octet_length("norm").alias("len"), F.substring(F.col("norm").cast("binary"), 1, FIRST_STRIDE).alias("chunk")]
-    best = F.max(F.struct("cp", (-F.col("doc_id")).alias("neg"))).alias("best")
-    rows = materialise(raw.select("doc_id", "t", "cp", *digit, F.sha2("norm", 256).alias("sha")), "digits")
-    first = rows.groupBy("len", "chunk").agg(F.count("*").alias("n"), best)
-
-    # Groups of one, and groups whose texts have ended, are done.
-    ended = (F.col("n") == 1) | (F.col("len") <= FIRST_STRIDE)
-    done = [rows.join(first.where(ended), ["len", "chunk"]).select("doc_id", "t", "cp", "sha", "n", "best")]
-    open_groups = first.where(~ended).select("len", "chunk")
-    live = materialise(
-        raw.withColumns({"len": F.octet_length("norm"), "chunk": F.substring(F.col("norm").cast("binary"), 1, FIRST_STRIDE)}).where(F.col("len") > FIRST_STRIDE)
-        .join(open_groups, ["len", "chunk"], "left_semi")
-        .select("doc_id", "t", "cp", "len", F.struct("len", "chunk").alias("group"), F.sha2("norm", 256).alias("sha"), F.substring(F.col("norm").cast("binary"), FIRST_STRIDE + 1, 1 << 30).alias("rest")),
-        "live",
-    )
-    offset, stride, label = FIRST_STRIDE, FIRST_STRIDE * GROWTH, "struct(doc_id, cp, sha)"
-    while (longest := live.agg(F.max("len")).first()[0]) is not None:
-        split = live.withColumn("chunk", F.substring("rest", 1, stride))
-        # A group's smallest row names it: texts of different groups differ, and so do their rows.
-        groups = split.groupBy("group", "chunk").agg(F.count("*").alias("n"), best, F.min(F.expr(label)).alias("name"), F.max("len").alias("end"))
-        offset += stride
-        groups = materialise(groups.where(F.col("n") > 0), "groups")
-        ended = (F.col("n") == 1) | (F.col("end") <= offset)
-        done.append(materialise(split.join(groups.where(ended), ["group", "chunk"]).select("doc_id", "t", "cp", "sha", "n", "best"), "done"))
-        if offset >= longest:
+    norm = normalised(text)
+    raw = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_key(F.col(text_col)).alias("t"), F.length(text).alias("cp"), norm.cast("binary").alias("norm"), F.sha2(norm, 256).alias("sha"))
+    live = materialise(raw.select("doc_id", "t", "cp", "sha", F.octet_length("norm").alias("len"), F.octet_length("norm").cast("long").alias("group"), F.substring("norm", 1, FIRST_STRIDE).alias("chunk"), F.substring("norm", FIRST_STRIDE + 1, 1 << 30).alias("rest")), "live")
+    own = F.struct("cp", (-F.col("doc_id")).alias("neg"))
+    end, stride, done = FIRST_STRIDE, FIRST_STRIDE, None
+    while True:
+        groups = live.groupBy("group", "chunk").agg(F.count("*").alias("n"), F.max(own).alias("best"), F.max("len").alias("end")).where("n > 1")
+        groups = materialise(groups.withColumn("number", F.monotonically_increasing_id()), "groups")
+        met = live.join(groups, ["group", "chunk"], "left")
+        settled = F.col("n").isNull() | (F.col("end") <= end)  # alone, or at the end of the text
+        part = met.where(settled).select("doc_id", "t", "cp", "sha", F.coalesce("n", F.lit(1).cast("long")).alias("n"), F.coalesce("best", own).alias("best"))
+        done = part if done is None else done.unionByName(part)
+        open_groups = groups.where(F.col("end") > end).select("group", "chunk", "number")
+        if open_groups.isEmpty():
             break
-        onward = split.join(groups.where(~ended).select("group", "chunk", "name"), ["group", "chunk"])
-        onward = onward.select("doc_id", "t", "cp", "len", F.col("name").alias("group"), "sha", F.substring("rest", stride + 1, 1 << 30).alias("rest"))
-        following = materialise(onward, "live")
-        discard(groups)
-        discard(live)
-        live, stride = following, stride * GROWTH
-    out = done[0]
-    for part in done[1:]:
-        out = out.unionByName(part)
+        end, stride = end + stride * GROWTH, stride * GROWTH
+        onward = live.join(open_groups, ["group", "chunk"]).select("doc_id", "t", "cp", "sha", "len", F.col("number").alias("group"), F.substring("rest", 1, stride).alias("chunk"), F.substring("rest", stride + 1, 1 << 30).alias("rest"))
+        live = materialise(onward, "live")
     keep = -F.col("best.neg")
     kept = keep.eqNullSafe(F.col("doc_id")) & (F.col("cp") == F.col("best.cp"))
-    return out.select("doc_id", "t", keep.alias("keep_id"), F.col("n").alias("group_size"), kept.alias("kept"), F.col("sha").alias("text_sha256"))
+    return done.select("doc_id", "t", keep.alias("keep_id"), F.col("n").alias("group_size"), kept.alias("kept"), F.col("sha").alias("text_sha256"))
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
