@@ -46,7 +46,7 @@ BANDS, ROWS = 30, 6
 #: Buckets of so many members at most compare all that is left in different classes; larger ones are thinned out first.
 SMALL = 32
 #: Bytes of text that a worker handles at once.
-BATCH_BYTES = 2 << 20
+BATCH_BYTES = 1 << 20
 _U = np.uint64
 
 

@@ -9,22 +9,9 @@ import numpy as np
 import xxhash
 
 WORD = re.compile(r"\w+")
-#: Words whose hash a worker remembers.
-MEMO = 500_000
 _U = np.uint64
 
 
-class _Hashes(dict):
-    def __missing__(self, word: str) -> int:
-        if len(self) > MEMO:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
-_hashes = _Hashes()
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit integers that spreads every bit over all."""
     x = x ^ (x >> _U(31))
@@ -42,9 +29,8 @@ def word_hashes(texts: Iterable[str]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words of all texts in a row, and where each text's begin (one more entry: the end)."""
     flat: list[int] = []
     offsets = [0]
-    get = _hashes.__getitem__
     for text in texts:
-        flat += map(get, WORD.findall(text.lower()))
+        flat += map(xxhash.xxh3_64_intdigest, WORD.findall(text.lower()))
         offsets.append(len(flat))
     return np.array(flat, np.uint64), np.array(offsets, np.int64)
 
