@@ -16,6 +16,7 @@ from skein.operators import archive, reports
 from skein.operators.events import events
 from skein.operators.sessions import dedup, export_order, numbered, session_fold, with_stats, with_titles
 from skein.sources.logs import Roots, exists, list_files, read_lines, read_title_index
+from skein.storage import materialise
 
 VERSION = "0.1.0"
 FLAGS = {"all", "include-tools", "no-raw", "no-redact-markdown", "no-archived", "list", "list-sessions", "diagnose", "help", "version", "readable-paths", "allow-output-in-tool-dir"}
@@ -78,8 +79,8 @@ class Log:
     def __init__(self, spark: SparkSession, roots: Roots, redacted: bool = True):
         self.spark, self.roots = spark, roots
         self.files = list_files(spark, roots)
-        self.events = events(read_lines(spark, self.files))
-        self.records = with_titles(session_fold(self.events, self.files), read_title_index(spark, roots.index), redacted).persist()
+        self.events = materialise(events(read_lines(spark, roots, self.files)), "events")
+        self.records = materialise(with_titles(session_fold(self.events, self.files), read_title_index(spark, roots.index), redacted), "records")
         self.sessions = dedup(self.records)
 
 
@@ -89,7 +90,7 @@ def export(log: Log, out: str, project: str = "", tools: bool = False, raw: bool
     if chosen.isEmpty():
         raise SkeinError("NO_PROJECT_MATCH", f"No sessions matched the project filter: {project}")
     # Every later step reads these rows; seq must be the same in all.
-    rows = with_stats(archive.with_paths(chosen, readable, raw, F.lit(datetime.now())), log.events).persist()
+    rows = materialise(with_stats(archive.with_paths(chosen, readable, raw, F.lit(datetime.now())), log.events), "rows")
     archive.write_texts(archive.transcripts(rows, log.events, redacted, tools), out, "markdown_file", "markdown")
     if raw:
         archive.copy_raw(rows, out)

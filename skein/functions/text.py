@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -111,8 +111,8 @@ def _nfkd(x: pd.Series) -> pd.Series:
 
 
 def slug(x: Column) -> Column:
-    """A name for files. Only texts beyond ASCII go through Python, for their compatibility decomposition."""
-    return _slug_of(F.when(F.regexp_like(text(x), F.lit(r"[^\x00-\x7f]")), _nfkd(text(x))).otherwise(text(x)))
+    """A name for files, by way of Python for the compatibility decomposition. A plan sends every row there: see with_slug."""
+    return _slug_of(_nfkd(text(x)))
 
 
 def ascii_slug(x: Column) -> Column:
@@ -120,6 +120,13 @@ def ascii_slug(x: Column) -> Column:
     return _slug_of(text(x))
 
 
+def with_slug(rows: DataFrame, name: str, x: Column) -> DataFrame:
+    """Adds the slug of x as a column. Only rows whose text is beyond ASCII go to Python: a condition around a UDF would not
+    hold the others back, two branches do. rows are read twice."""
+    odd = F.regexp_like(text(x), F.lit(r"[^\x00-\x7f]"))
+    return rows.where(~odd).withColumn(name, ascii_slug(x)).unionByName(rows.where(odd).withColumn(name, slug(x)))
+
+
 def _slug_of(x: Column) -> Column:
     squeezed = F.regexp_replace(F.regexp_replace(x, r"[^A-Za-z0-9_.\-]+", "-"), "-+", "-")
     return F.coalesce(known(F.lower(F.regexp_replace(squeezed, r"^-|-\z", ""))), F.lit("unknown"))

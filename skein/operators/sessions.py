@@ -3,7 +3,8 @@
 The record is a fold over the file's lines with first-wins and last-wins fields that ends early, at the first line by which
 folder, id, start, first user text and model are all known. In closed form: aggregates find where each field is first set,
 their maximum is where the fold stops, and further aggregates take the values up to there. All are algebraic, so Spark
-combines them before the shuffle and one very long log is no burden.
+combines them before the shuffle and one very long log is no burden. The fold reads its events twice, so callers hand it
+events that are written (`skein.storage.materialise`) rather than lines still to be parsed.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skein.functions.text import SPACE, TITLE_LENGTH, cwd_from_text, derive_title, first_known, redact, session_id_from_name, text
+from skein.storage import materialise
 
 _FAR = (1 << 63) - 1
 
@@ -96,12 +98,10 @@ def export_order() -> list[Column]:
 def numbered(rows: DataFrame, order: list[Column], name: str) -> DataFrame:
     """Numbers from 1 in the order, without gathering the rows: each range of the order counts on its own.
 
-    The sorted ranges are kept (checkpoint() where the cluster has a folder for it), so counts and numbers agree.
+    The sorted ranges are written, so that counts and numbers agree whatever becomes of an executor.
     """
-    spark = rows.sparkSession
     parts = rows.repartitionByRange(*order).sortWithinPartitions(*order)
-    parts = parts.withColumn("__m", F.monotonically_increasing_id())
-    parts = parts.checkpoint() if spark.conf.get("spark.checkpoint.dir", None) else parts.persist()
+    parts = materialise(parts.withColumn("__m", F.monotonically_increasing_id()), "numbered")
     part, place = F.shiftright("__m", 33), F.col("__m").bitwiseAND((1 << 33) - 1)
     sizes = sorted((r.p, r.c) for r in parts.groupBy(part.alias("p")).agg(F.count("*").alias("c")).collect())  # one row for each range
     offsets, total = [], 0

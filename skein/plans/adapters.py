@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from skein.operators.events import events
 from skein.operators.sessions import dedup, session_fold, with_titles
+from skein.storage import materialise
 
 # What a conversation lacks is made up from its number; valid in Spark and in the SQL of the checks alike.
 STORAGE = "CASE WHEN conv_id % 3 = 0 THEN 'archived' ELSE 'active' END"
@@ -23,41 +24,43 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def conversation_lines(spark: SparkSession, sf_dir: str, identity: str = "concat('conv-', cast(conv_id AS string))") -> DataFrame:
-    """path, storage, n, raw: a session_meta line, a turn_context line, then a line for each turn."""
-    turns = read(spark, sf_dir, "conversations")
-    heads = turns.select("conv_id").distinct()
-    where = [F.expr(PATH).alias("path"), F.expr(STORAGE).alias("storage")]
+    """path, storage, n, raw: a session_meta line, a turn_context line, then a line for each turn; the first two stand before turn 0."""
     stamp = lambda n: F.expr(STAMP.format(n=n))
     line = lambda kind, n, payload: F.to_json(F.struct(F.lit(kind).alias("type"), stamp(n).alias("timestamp"), payload.alias("payload")))
     meta = F.struct(F.expr(identity).alias("id"), F.expr(CWD).alias("cwd"), stamp(0).alias("timestamp"))
     turn = F.struct(F.expr(CWD).alias("cwd"), F.expr(MODEL).alias("model"))
     said = F.struct(F.lit("message").alias("type"), "role", F.array(F.struct(F.lit("text").alias("type"), "text")).alias("content"))
-    one = heads.select(*where, F.lit(1).cast("long").alias("n"), line("session_meta", "0", meta).alias("raw"))
-    two = heads.select(*where, F.lit(2).cast("long").alias("n"), line("turn_context", "1", turn).alias("raw"))
-    rest = turns.select(*where, (F.col("turn") + 3).alias("n"), line("response_item", "turn + 2", said).alias("raw"))
-    return one.unionByName(two).unionByName(rest)
+    at = lambda n, raw: F.struct(n.cast("long").alias("n"), raw.alias("raw"))
+    own = at(F.col("turn") + 3, line("response_item", "turn + 2", said))
+    heads = F.array(at(F.lit(1), line("session_meta", "0", meta)), at(F.lit(2), line("turn_context", "1", turn)), own)
+    lines = F.explode(F.when(F.col("turn") == 0, heads).otherwise(F.array(own))).alias("line")
+    return read(spark, sf_dir, "conversations").select(F.expr(PATH).alias("path"), F.expr(STORAGE).alias("storage"), lines).select("path", "storage", "line.*")
 
 
 def conversation_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    heads = read(spark, sf_dir, "conversations").select("conv_id").distinct()
+    heads = read(spark, sf_dir, "conversations").where("turn = 0")
     return heads.select(F.expr(PATH).alias("path"), F.expr(STORAGE).alias("storage"), F.lit(1).cast("long").alias("size"), F.lit("2024-01-01T00:00:00.000Z").alias("modified"))
 
 
 def conversation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    heads = read(spark, sf_dir, "conversations").select("conv_id").distinct().where("conv_id % 4 = 0")
+    heads = read(spark, sf_dir, "conversations").where("turn = 0 and conv_id % 4 = 0")
     return heads.selectExpr("concat('conv-', cast(conv_id AS string)) AS id", f"{INDEX_TITLE} AS index_title", "'2024-06-01T00:00:00Z' AS index_updated")
 
 
 def conversation_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return events(conversation_lines(spark, sf_dir))
+    """The events, parsed once and written: folds, counts and transcripts read them from there."""
+    return materialise(events(conversation_lines(spark, sf_dir)), "events")
 
 
-def conversation_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return with_titles(session_fold(conversation_events(spark, sf_dir), conversation_files(spark, sf_dir)), conversation_index(spark, sf_dir))
+def untitled_sessions(spark: SparkSession, sf_dir: str, said: DataFrame | None = None) -> DataFrame:
+    """The sessions without titles, which most reports have no use for."""
+    said = conversation_events(spark, sf_dir) if said is None else said
+    return dedup(session_fold(said, conversation_files(spark, sf_dir)))
 
 
-def conversation_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup(conversation_records(spark, sf_dir))
+def conversation_sessions(spark: SparkSession, sf_dir: str, said: DataFrame | None = None) -> DataFrame:
+    """The sessions; only those that dedup keeps get titles."""
+    return with_titles(untitled_sessions(spark, sf_dir, said), conversation_index(spark, sf_dir))
 
 
 # An event table as the events of sessions, one for each user; in both dialects.

@@ -14,6 +14,7 @@ from skein.operators.events import events, flatten_content, parsed
 from skein.operators.sessions import dedup, export_order, numbered, project_order, session_fold, session_stats, with_stats, with_titles
 from skein.plans import adapters as a
 from skein.plans.adapters import read
+from skein.storage import materialise
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -106,12 +107,12 @@ _SLUG_SQL = "coalesce(nullif(lower(regexp_replace(regexp_replace(regexp_replace(
 
 @query(f"SELECT p_partkey, {_SLUG_SQL.format(x='p_name')} AS name, {_SLUG_SQL.format(x="concat('--', p_type, ' #')")} AS kind, {_SLUG_SQL.format(x="'##'")} AS nothing FROM part")
 def slug(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "part").select("p_partkey", t.slug(F.col("p_name")).alias("name"), t.ascii_slug(F.concat(F.lit("--"), "p_type", F.lit(" #"))).alias("kind"), t.ascii_slug(F.lit("##")).alias("nothing"))
+    return read(spark, sf_dir, "part").select("p_partkey", t.ascii_slug(F.col("p_name")).alias("name"), t.ascii_slug(F.concat(F.lit("--"), "p_type", F.lit(" #"))).alias("kind"), t.ascii_slug(F.lit("##")).alias("nothing"))
 
 
 @query(None)
 def slug_unicode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "documents").select("doc_id", t.slug(F.col("text")).alias("name"))
+    return t.with_slug(read(spark, sf_dir, "documents"), "name", F.col("text")).select("doc_id", "name")
 
 
 @query("SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN '20240102-030405' ELSE strftime(o_orderdate + to_seconds(o_orderkey % 86400), '%Y%m%d-%H%M%S') END AS stamp FROM orders")
@@ -202,28 +203,30 @@ def title_source(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_SESSIONS + "SELECT CASE WHEN cwd = '' THEN '(unknown)' ELSE cwd END AS project, count(*) AS total, count(*) FILTER (WHERE storage = 'active') AS active, count(*) FILTER (WHERE storage = 'archived') AS archived FROM m GROUP BY 1")
 def project_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.project_list(a.conversation_sessions(spark, sf_dir))
+    return reports.project_list(a.untitled_sessions(spark, sf_dir))
 
 
 @query(_SESSIONS + "SELECT CASE WHEN cwd = '' THEN 'unknown' ELSE cwd END AS project, count(*) AS sessions, min(seq) AS first_seq FROM m GROUP BY 1")
 def summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.summary(numbered(a.conversation_sessions(spark, sf_dir), export_order(), "seq"))
+    return reports.summary(numbered(a.untitled_sessions(spark, sf_dir), export_order(), "seq"))
 
 
 @query(_SESSIONS + "SELECT count(*) AS sessions, count(*) FILTER (WHERE storage = 'active') AS active, count(*) FILTER (WHERE storage = 'archived') AS archived FROM m")
 def totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.totals(a.conversation_sessions(spark, sf_dir))
+    return reports.totals(a.untitled_sessions(spark, sf_dir))
 
 
 @query(_SESSIONS + "SELECT id FROM m WHERE contains(lower(concat_ws(' ', regexp_extract(cwd, '[^/]*$'), title, storage, started_at, updated_at, model)), 'archived') AND contains(lower(concat_ws(' ', regexp_extract(cwd, '[^/]*$'), title, storage, started_at, updated_at, model)), 'p3')")
 def search_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = with_stats(a.conversation_sessions(spark, sf_dir), a.conversation_events(spark, sf_dir)).withColumn("project_name", t.portable_basename(F.col("cwd")))
+    said = a.conversation_events(spark, sf_dir)
+    rows = with_stats(a.conversation_sessions(spark, sf_dir, said), said).withColumn("project_name", t.portable_basename(F.col("cwd")))
     return reports.search_sessions(reports.search_index(rows), " P3  ARCHIVED ").select("id")
 
 
 @query(_SESSIONS + "SELECT id, updated_at FROM m")
 def latest_timestamp(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return with_stats(a.conversation_sessions(spark, sf_dir), a.conversation_events(spark, sf_dir)).select("id", "updated_at")
+    said = a.conversation_events(spark, sf_dir)
+    return with_stats(a.conversation_sessions(spark, sf_dir, said), said).select("id", "updated_at")
 
 
 @query(f"""
@@ -239,7 +242,7 @@ def message_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_SESSIONS + "SELECT id, model FROM m")
 def model_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return a.conversation_sessions(spark, sf_dir).select("id", "model")
+    return a.untitled_sessions(spark, sf_dir).select("id", "model")
 
 
 _FOLD = f"""
@@ -304,7 +307,7 @@ _COPIES = "concat('key-', cast(conv_id % 40 AS string))"
 """)
 def dedup_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = a.conversation_lines(spark, sf_dir, _COPIES)
-    return dedup(session_fold(events(lines), a.conversation_files(spark, sf_dir))).select("id", "path", "storage", "first_path")
+    return dedup(session_fold(materialise(events(lines), "events"), a.conversation_files(spark, sf_dir))).select("id", "path", "storage", "first_path")
 
 
 @query(_SESSIONS + """SELECT storage, CASE WHEN title = '' THEN '(untitled)' ELSE title END AS title, CASE WHEN cwd = '' THEN '(unknown project)' ELSE cwd END AS project, started_at AS started, id, regexp_extract(path, '[^/]*$') AS file,
@@ -317,19 +320,20 @@ def session_list_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_SESSIONS + "SELECT id, row_number() OVER (ORDER BY updated_at DESC, seq) AS place FROM m")
 def index_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = with_stats(numbered(a.conversation_sessions(spark, sf_dir), export_order(), "seq"), a.conversation_events(spark, sf_dir))
+    said = a.conversation_events(spark, sf_dir)
+    rows = with_stats(numbered(a.conversation_sessions(spark, sf_dir, said), export_order(), "seq"), said)
     return numbered(rows, reports.index_order(F.col("seq")), "place").select("id", "place")
 
 
 @query(_SESSIONS + "SELECT id, printf('s%04d', seq) AS code FROM m")
 def session_number(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = numbered(a.conversation_sessions(spark, sf_dir), export_order(), "seq")
+    rows = numbered(a.untitled_sessions(spark, sf_dir), export_order(), "seq")
     return rows.select("id", archive.session_code(F.col("seq")).alias("code"))
 
 
 @query(_SESSIONS + "SELECT DISTINCT CASE WHEN cwd = '' THEN 'unknown' ELSE cwd END AS project_key, project_no FROM p")
 def project_number(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return project_order(numbered(a.conversation_sessions(spark, sf_dir), export_order(), "seq"))
+    return project_order(numbered(a.untitled_sessions(spark, sf_dir), export_order(), "seq"))
 
 
 _OUT = "concat(printf('p%03d-', project_no), CASE WHEN cwd = '' THEN 'unknown' ELSE regexp_extract(cwd, '[^/]*$') END, printf('/s%04d', seq))"
@@ -337,14 +341,15 @@ _OUT = "concat(printf('p%03d-', project_no), CASE WHEN cwd = '' THEN 'unknown' E
 
 @query(_SESSIONS + f"SELECT id, concat('md/', {_OUT}, '.md') AS markdown_file, concat('raw/', {_OUT}, '.jsonl') AS raw_export_file FROM p")
 def output_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return archive.with_paths(a.conversation_sessions(spark, sf_dir), slug_of=t.ascii_slug).select("id", "markdown_file", "raw_export_file")
+    return archive.with_paths(a.untitled_sessions(spark, sf_dir)).select("id", "markdown_file", "raw_export_file")
 
 
 @query(_SESSIONS + f"""SELECT cwd AS project, regexp_extract(cwd, '[^/]*$') AS project_name, title, title_source, storage, id AS session_id, started_at, updated_at, model, user_messages, assistant_messages, 0 AS tool_events, path AS source_jsonl,
     regexp_extract(path, '[^/]*$') AS source_jsonl_name, concat('md/', {_OUT}, '.md') AS markdown_file, concat('raw/', {_OUT}, '.jsonl') AS raw_export_file, seq FROM p""")
 def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = archive.with_paths(a.conversation_sessions(spark, sf_dir), slug_of=t.ascii_slug)
-    return archive.manifest(with_stats(rows, a.conversation_events(spark, sf_dir)))
+    said = a.conversation_events(spark, sf_dir)
+    rows = archive.with_paths(a.conversation_sessions(spark, sf_dir, said))
+    return archive.manifest(with_stats(rows, said))
 
 
 @query(_SESSIONS + f""", blocks AS (
@@ -356,7 +361,7 @@ def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 """)
 def transcript(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = a.conversation_events(spark, sf_dir)
-    rows = with_stats(archive.with_paths(a.conversation_sessions(spark, sf_dir), slug_of=t.ascii_slug), said)
+    rows = with_stats(archive.with_paths(a.conversation_sessions(spark, sf_dir, said)), said)
     return archive.transcripts(rows, said)
 
 
@@ -366,6 +371,6 @@ def transcript(spark: SparkSession, sf_dir: str) -> DataFrame:
 """)
 def location_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Both storages' lines: all archived ones, and those of active sessions of one project."""
-    lines, sessions = a.conversation_lines(spark, sf_dir), a.conversation_sessions(spark, sf_dir)
+    lines, sessions = a.conversation_lines(spark, sf_dir), a.untitled_sessions(spark, sf_dir)
     chosen = sessions.where((F.col("storage") == "archived") | t.matches_project(F.col("cwd"), "p1"))
     return lines.join(chosen.select("path"), "path", "left_semi").groupBy("path", "storage").agg(F.count("*").alias("lines"))
