@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.storage import discard, materialise
+from skein.storage import discard, materialise
 
 
 def components(links: DataFrame) -> DataFrame:

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skein.llm.pieces import balanced
-from skein.llm.storage import discard, materialise
+from skein.storage import discard, materialise
 from skein.llm.words import mix
 
 LENGTH, GRAM = 100, 20

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.llm.pieces import balanced
-from skein.llm.storage import materialise, new_path, remove
+from skein.storage import materialise, new_path, remove
 from skein.llm.token_counts import library_encoder
 
 MAGIC = b"SKEINRANS1"

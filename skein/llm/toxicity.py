@@ -19,6 +19,7 @@ label are ignored, whatever their names.
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
@@ -34,7 +35,7 @@ SAMPLE, SAMPLE_CHARS = 4000, 48_000_000
 #: A feature needs so many different sentences, and so many times the odds of all documents; lengths of beginnings.
 SUPPORT, LIFT, BEGINNINGS = 6, 4.0, (4, 5, 6)
 #: A sentence ends after so many words at the latest; words whose weight a worker remembers.
-SENTENCE_WORDS, MEMO = 60, 500_000
+SENTENCE_WORDS, MEMO = 60, 100_000
 #: A sentence's log-odds with no known word; chance of a toxic document labelled clean; L1 penalty; steps, their size, and
 #: where the weights of a word start.
 BASE, SLIP, PENALTY, STEPS, RATE, START = -10.0, 0.02, 3e-5, 200, 0.2, 14.0
@@ -93,7 +94,7 @@ class Model:
     def sentence(self, text: str) -> float:
         """-log(1 - p) of a sentence; 0 if none of its words counts."""
         found = {f for w in set(words_of(text)) if self.by_word[w] for f in features_of(w) if f in self.weights}
-        return float(np.logaddexp(0.0, BASE + sum(map(self.weights.__getitem__, found)))) if found else 0.0
+        return float(np.logaddexp(0.0, BASE + math.fsum(map(self.weights.__getitem__, found)))) if found else 0.0
 
     def document(self, text: str) -> float:
         if not text or not self.counts(text):
@@ -102,7 +103,7 @@ class Model:
 
 
 def fit(samples: Iterable[tuple[str, int]]) -> Model:
-    """A model from texts and labels; a text that comes more than once counts once, with its larger label."""
+    """A model from texts and labels, the same in every process; a text that comes more than once counts once, with its larger label."""
     labels: dict[str, int] = {}
     for text, label in samples:
         labels[text] = max(label, labels.get(text, 0))
@@ -118,7 +119,8 @@ def fit(samples: Iterable[tuple[str, int]]) -> Model:
     odds = y.mean() / (1 - y.mean())
     lifted = {f for f, n in toxic.items() if n >= SUPPORT and n + odds >= LIFT * odds * (holds[f] - n + 1)}
     model = Model(dict.fromkeys(lifted, 1.0))
-    bags = [{frozenset(f for w in words_of(text[a:b]) if model.by_word[w] for f in features_of(w) if f in lifted) for a, b in sentences(text)} - {frozenset()} if model.counts(text) else () for text in labels]
+    # Different sentences, by their features, in one order whatever the hashes: sums of floats depend on it.
+    bags = [sorted({tuple(sorted({f for w in words_of(text[a:b]) if model.by_word[w] for f in features_of(w) if f in lifted})) for a, b in sentences(text)} - {()}) if model.counts(text) else () for text in labels]
     support: dict[str, set] = defaultdict(set)
     for text in labels:
         if model.counts(text):

@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm.storage import materialise, new_path
+from skein.storage import materialise, new_path
 
 #: Written bytes and captures after which an archive file ends, captures between entries of a run's sparse index, runs in a merge.
 ARCHIVE_BYTES, ARCHIVE_CAPTURES, SPARSE, FAN_IN = 256 << 20, 100_000, 256, 64

@@ -8,7 +8,7 @@ import random
 import pytest
 
 from skein.llm.html_extract import extract_pages, main_text, minimum_cut
-from skein.llm.storage import new_path
+from skein.storage import new_path
 from skein.llm.warc import FIELDS, LoserTree, RunReader, archive_round_trip, members, parse_record, read_archives, url_key, write_archives, write_run
 
 

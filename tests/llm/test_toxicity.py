@@ -1,11 +1,18 @@
 """Toxicity on held-out documents, and the sentences that are to blame."""
 
+import math
+import os
 import random
+import re
+import subprocess
+import sys
 import zlib
 
-from skein.llm.toxicity import fit, held_out, keep_clean, locate, score, train
+import pytest
 from pyspark.sql import functions as F
 
+from skein.llm.toxicity import BASE, Model, fit, held_out, keep_clean, locate, score, train
+
 BAD = ["zorkish", "vlorkant", "grumbex"]
 
 
@@ -51,3 +58,49 @@ def test_labels_that_teach_nothing(spark, make):
 
 def test_held_out_of_null(spark):
     assert spark.range(1).select(held_out(F.lit(None)).alias("h")).first().h is False
+
+
+def noisy_or(weights, text):
+    """The score said plainly: over sentences of at most 60 words, one minus the product of one minus their chances."""
+    none = 1.0
+    for piece in re.split(r"[.!?…。！？\n]+", text):
+        words = re.findall(r"\w+", piece.lower())
+        for k in range(0, len(words), 60):
+            features = {f for w in words[k : k + 60] for f in (w, *(w[:n] + "-" for n in (4, 5, 6) if len(w) > n))} & weights.keys()
+            if features:
+                none *= 1 - 1 / (1 + math.exp(-BASE - sum(weights[f] for f in features)))
+    return 1 - none
+
+
+def test_scores_are_the_noisy_or_of_sentences(spark, make):
+    rows, labels = corpus(make)
+    model = fit([(t, y) for (_, t), (_, _, y) in zip(rows, labels)])
+    assert model.weights
+    r = random.Random(3)
+    texts = [t for _, t in rows] + [". ".join(r.choice([*BAD, *(b[:4] + "xyz" for b in BAD), "fine", "words " * 70]) for _ in range(r.randint(0, 8))) for _ in range(200)]
+    odd = Model({"abc": 9.0, "abcd-": 2.5, "é": 11.0, "ß": 0.5})
+    texts += ["abc abc", "ABC. abc", "abcde", "abc abcde", "É\nß", "x. " * 50 + "abc", "abc " * 100]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for m in (model, odd):
+        got = {x.doc_id: x.score for x in score(docs, m).collect()}
+        for i, t in enumerate(texts):
+            assert got[i] == pytest.approx(noisy_or(m.weights, t), abs=1e-12), t
+
+
+def test_fitted_weights_do_not_depend_on_hashes():
+    code = "import random; from skein.llm.toxicity import fit; r = random.Random(1); w = ['word%d' % k for k in range(60)]; rows = [(' '.join(r.choice(w) + r.choice(['', '.']) for _ in range(30)) + r.choice(['', ' zorkish thing', ' grumbex here. zorkish']), k % 3 // 2) for k in range(300)]; rows = [(t, int('zork' in t or 'grum' in t)) for t, _ in rows]; print(sorted(fit(rows).weights.items()))"
+    said = {subprocess.run([sys.executable, "-c", code], env=os.environ | {"PYTHONHASHSEED": seed, "PYTHONPATH": os.getcwd()}, capture_output=True, text=True, check=True).stdout for seed in ("1", "2", "3")}
+    assert len(said) == 1 and "zorkish" in said.pop()
+
+
+def test_repeated_rows_and_labels(spark, make):
+    rows, labels = corpus(make, 300)
+    twice = spark.createDataFrame([*rows, *rows, (0, "fine words"), (None, "zorkish"), (None, None)], "doc_id long, text string").repartition(3)
+    table = spark.createDataFrame([*labels, *((i, q, 0) for i, q, _ in labels), (None, None, 1), (None, None, None)], "doc_id long, quality int, toxic int")
+    got = score(twice, train(spark.createDataFrame(rows, "doc_id long, text string"), table)).collect()
+    assert len(got) == 603
+    text = dict(rows)
+    for r in got:
+        if r.doc_id:
+            assert r.predicted == int(any(b in text[r.doc_id] for b in BAD))
+    assert sorted(r.predicted for r in got if r.doc_id is None) == [0, 1]
