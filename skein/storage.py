@@ -33,18 +33,18 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: a lost executor costs no recomputation."""
+def materialise(df: DataFrame, name: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """Write df as Parquet in the shared folder, in folders by the columns `by`, and read it back: a lost executor costs no recomputation."""
     spark = df.sparkSession
     path = new_path(spark, name)
     # df is run once, here: its shuffle files leave the disks as soon as the table is written.
     before = spark.conf.get(_CLEANUP, None)
     spark.conf.set(_CLEANUP, "true")
     try:
-        df.write.parquet(path)
+        df.write.parquet(path, partitionBy=list(by) or None)
     finally:
         spark.conf.set(_CLEANUP, before) if before is not None else spark.conf.unset(_CLEANUP)
-    back = spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path).select(df.columns)
     back._skein_path = path
     return back
 
