@@ -4,12 +4,14 @@ import hashlib
 import re
 import zlib
 from collections import Counter, defaultdict
+from functools import reduce
 
 import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
 import tiktoken
+from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
 from skein.llm import token_store
@@ -17,8 +19,9 @@ from skein.llm.bpe import bpe_ids, bpe_round_trip, read_ranks
 from skein.llm.decontamination import align, contaminated, drop_contaminated
 from skein.llm.exact_dedup import drop_copies, exact_groups
 from skein.llm.near_dedup import drop_near_copies, near_groups, similarity
-from skein.llm.suffix_dedup import remove_repeats
+from skein.llm.suffix_dedup import SPAN, SuffixLevels, bounds_of, packed_entries, remove_repeats, settled_halves, unpack
 from skein.llm.token_counts import token_counts
+from skein.storage import materialise
 
 RANKS, JSON, MODEL = (public_tokenizers.path(x) for x in ("byte_bpe_50k.tiktoken", "byte_bpe_50k.json", "piece_bpe_32k.model"))
 
@@ -149,8 +152,36 @@ def test_repeated_passages_of_many_forms(spark):
     pool = ["".join(r.choice("ab c") for _ in range(r.randint(40, 300))) for _ in range(6)]
     rows = [(d, "".join(r.choice([r.choice(pool), "".join(r.choice("abc") for _ in range(r.randint(1, 150))), "é" * 60])[r.randint(0, 9) :] for _ in range(r.randint(0, 5)))) for d in range(40)]
     rows.append(rows[5])  # a repeated row
-    got = by_id(remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), with_text=True), "n_bytes", "n_removed", "n_spans", "kept_sha256")
-    assert got == removed(rows[:-1])
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    expect = removed(rows[:-1])
+    for how in ({}, {"part_bytes": 1500, "crowd": 3}, {"batches": 3, "part_bytes": 4000, "crowd": 0}):
+        got = by_id(remove_repeats(table, with_text=True, **how), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+        assert got == expect, how
+
+
+def test_batches_meet_stored_levels(spark):
+    import random
+
+    r = random.Random(8)
+    pool = ["".join(r.choice("abcdef gh") for _ in range(r.randint(90, 400))) for _ in range(8)]
+    rows = [(d, "".join(r.choice([r.choice(pool), "".join(r.choice("abc") for _ in range(r.randint(1, 150)))])[r.randint(0, 9) :] for _ in range(r.randint(0, 5)))) for d in range(70)]
+    expect = removed(rows)
+    whole = spark.createDataFrame(rows, "doc long, text string")
+    first = SuffixLevels(spark, bounds_of(whole, sum(len(t) for _, t in rows), 5))
+    found = []
+    for k in range(7):  # one batch after another, as they come in; each is given to add() alone
+        entered = materialise(packed_entries(whole.where(f"doc div 10 = {k}"), first.bounds, []), "entries")
+        found += [entered.where("kind = 1").drop("batch"), first.add(entered.where("kind = 0").select("number", "blob"))]
+    assert [size for size, _, _ in first.levels] == [4, 2, 1]
+    every = reduce(DataFrame.unionByName, found)
+    spans = every.where("kind = 1").unionByName(settled_halves(whole, every.where("kind = 2"), first.parts, 100))
+    table: dict[int, list] = defaultdict(list)
+    for x in spans.collect():
+        got = unpack([x.blob], SPAN)
+        for d, a, b in zip(got["doc"].tolist(), got["begin"].tolist(), got["end"].tolist()):
+            table[d].append((a, b))
+    for d, t in rows:
+        assert expect[d][1] == len({x for a, b in table[d] for x in range(a, b)}), d
 
 
 def shingles(t):
