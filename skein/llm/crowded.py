@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.storage import materialise
+from skein.storage import materialise
 
 #: Members that a reference is made from, and how many ways its rows are dealt where members are joined to it.
 SAMPLE, SALT = 16, 16
@@ -92,14 +92,19 @@ def thinned(crowds: DataFrame, features: DataFrame, least: float, most: int) ->
     spark = crowds.sparkSession
     lists = spark.createDataFrame([], "band long, node long")
     near = spark.createDataFrame([], "ref long, node long, a int, b int, r int, o double, unit boolean")
-    level, sets = crowds.withColumn("origin", F.lit(None).cast("long")), spark.createDataFrame([], "ref long, shingles binary")
+    none = F.lit(None).cast("long")
+    level, sets, first = crowds.withColumn("origin", none), spark.createDataFrame([], "ref long, shingles binary"), True
     while not level.isEmpty():
         refs = materialise(references(level, features, sets), "references")
         at = level.join(refs.select("band", "ref"), "band").select("ref", "node").distinct()
         sets = refs.groupBy("ref").agg(F.first("shingles").alias("shingles"))
         own = materialise(entries(at, features, sets, least), "entries")
         near = near.unionByName(own.where("inside").drop("inside", "prefix"))
-        dealt = own.select("ref", F.explode("prefix").alias("e"), "node").withColumn("band", F.xxhash64("ref", "e")).drop("e")
+        if first:  # a node stands in up to a bucket for each band: one list for each shingle, whatever the references
+            each = own.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("prefix"))).alias("prefix"))
+            dealt, first = each.select(F.explode("prefix").alias("band"), "node").withColumn("ref", none), False
+        else:  # references grow from level to level, so this ends
+            dealt = own.select("ref", F.explode("prefix").alias("e"), "node").withColumn("band", F.xxhash64("ref", "e")).drop("e")
         sizes = dealt.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
         dealt = materialise(dealt.join(sizes, "band"), "lists")
         lists = lists.unionByName(dealt.where(F.col("n") <= most).select("band", "node"))
