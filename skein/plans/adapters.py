@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.operators.events import events
 from skein.operators.sessions import dedup, session_fold, with_titles
+from skein.sources.files import file_system
 from skein.storage import materialise
 
 # What a conversation lacks is made up from its number; valid in Spark and in the SQL of the checks alike.
@@ -92,3 +97,17 @@ def event_sessions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFra
 def empty_index(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], "id string, index_title string, index_updated string")
 
+
+def file_digests(paths: DataFrame) -> DataFrame:
+    """path, sha of the bytes of each file, whatever its name."""
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for path in batch.column(0).to_pylist():
+                system, where = file_system(path)
+                with system.open_input_stream(where) as f:
+                    found.append(hashlib.file_digest(f, "sha256").hexdigest())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.string())], ["path", "sha"])
+
+    return paths.mapInArrow(digest, "path string, sha string")

@@ -130,16 +130,16 @@ def markdown_fence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").select("doc_id", t.markdown_fence(F.expr(_TICKED)).alias("fence"))
 
 
-_CELL_SQL = "replace(replace(replace(replace(replace(coalesce({x}, ''), '\\', '\\\\'), '|', '\\|'), chr(13) || chr(10), ' '), chr(13), ' '), chr(10), ' ')"
-_HTML_SQL = "replace(replace(replace(replace(coalesce({x}, ''), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;')"
+CELL_SQL = "replace(replace(replace(replace(replace(coalesce({x}, ''), '\\', '\\\\'), '|', '\\|'), chr(13) || chr(10), ' '), chr(13), ' '), chr(10), ' ')"
+HTML_SQL = "replace(replace(replace(replace(coalesce({x}, ''), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;')"
 
 
-@query(f"SELECT doc_id, sha256({_CELL_SQL.format(x="text || chr(13) || chr(10) || '\\|'")}) AS cell FROM documents")
+@query(f"SELECT doc_id, sha256({CELL_SQL.format(x="text || chr(13) || chr(10) || '\\|'")}) AS cell FROM documents")
 def md_cell(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").select("doc_id", F.sha2(t.md_cell(F.concat("text", F.lit("\r\n\\|"))), 256).alias("cell"))
 
 
-@query(f"SELECT page_id, sha256({_HTML_SQL.format(x='html')}) AS escaped FROM pages")
+@query(f"SELECT page_id, sha256({HTML_SQL.format(x='html')}) AS escaped FROM pages")
 def html_escape(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "pages").select("page_id", F.sha2(t.html_escape(F.col("html")), 256).alias("escaped"))
 
@@ -178,7 +178,7 @@ def project_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # Sessions of the conversations, in the SQL of the checks.
-_SESSIONS = f"""
+SESSIONS = f"""
     WITH c AS (SELECT *, turn + 3 AS n FROM conversations),
     first_text AS (SELECT conv_id, arg_min(text, turn) AS x FROM c WHERE role = 'user' AND text <> '' GROUP BY conv_id),
     counts AS (SELECT conv_id, count(*) FILTER (WHERE role = 'user') AS user_messages, count(*) FILTER (WHERE role = 'assistant') AS assistant_messages, max(turn) AS last_turn FROM c GROUP BY conv_id),
@@ -196,34 +196,34 @@ _SESSIONS = f"""
 """
 
 
-@query(_SESSIONS + "SELECT id, title, title_source FROM m")
+@query(SESSIONS + "SELECT id, title, title_source FROM m")
 def title_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.conversation_sessions(spark, sf_dir).select("id", "title", "title_source")
 
 
-@query(_SESSIONS + "SELECT CASE WHEN cwd = '' THEN '(unknown)' ELSE cwd END AS project, count(*) AS total, count(*) FILTER (WHERE storage = 'active') AS active, count(*) FILTER (WHERE storage = 'archived') AS archived FROM m GROUP BY 1")
+@query(SESSIONS + "SELECT CASE WHEN cwd = '' THEN '(unknown)' ELSE cwd END AS project, count(*) AS total, count(*) FILTER (WHERE storage = 'active') AS active, count(*) FILTER (WHERE storage = 'archived') AS archived FROM m GROUP BY 1")
 def project_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.project_list(a.untitled_sessions(spark, sf_dir))
 
 
-@query(_SESSIONS + "SELECT CASE WHEN cwd = '' THEN 'unknown' ELSE cwd END AS project, count(*) AS sessions, min(seq) AS first_seq FROM m GROUP BY 1")
+@query(SESSIONS + "SELECT CASE WHEN cwd = '' THEN 'unknown' ELSE cwd END AS project, count(*) AS sessions, min(seq) AS first_seq FROM m GROUP BY 1")
 def summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.summary(numbered(a.untitled_sessions(spark, sf_dir), export_order(), "seq"))
 
 
-@query(_SESSIONS + "SELECT count(*) AS sessions, count(*) FILTER (WHERE storage = 'active') AS active, count(*) FILTER (WHERE storage = 'archived') AS archived FROM m")
+@query(SESSIONS + "SELECT count(*) AS sessions, count(*) FILTER (WHERE storage = 'active') AS active, count(*) FILTER (WHERE storage = 'archived') AS archived FROM m")
 def totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.totals(a.untitled_sessions(spark, sf_dir))
 
 
-@query(_SESSIONS + "SELECT id FROM m WHERE contains(lower(concat_ws(' ', regexp_extract(cwd, '[^/]*$'), title, storage, started_at, updated_at, model)), 'archived') AND contains(lower(concat_ws(' ', regexp_extract(cwd, '[^/]*$'), title, storage, started_at, updated_at, model)), 'p3')")
+@query(SESSIONS + "SELECT id FROM m WHERE contains(lower(concat_ws(' ', regexp_extract(cwd, '[^/]*$'), title, storage, started_at, updated_at, model)), 'archived') AND contains(lower(concat_ws(' ', regexp_extract(cwd, '[^/]*$'), title, storage, started_at, updated_at, model)), 'p3')")
 def search_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = a.conversation_events(spark, sf_dir)
     rows = with_stats(a.conversation_sessions(spark, sf_dir, said), said).withColumn("project_name", t.portable_basename(F.col("cwd")))
     return reports.search_sessions(reports.search_index(rows), " P3  ARCHIVED ").select("id")
 
 
-@query(_SESSIONS + "SELECT id, updated_at FROM m")
+@query(SESSIONS + "SELECT id, updated_at FROM m")
 def latest_timestamp(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = a.conversation_events(spark, sf_dir)
     return with_stats(a.conversation_sessions(spark, sf_dir, said), said).select("id", "updated_at")
@@ -240,12 +240,12 @@ def message_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spoken.unionByName(session_stats(a.event_sessions(spark, sf_dir)[0]).select(F.regexp_replace("path", r"^/logs/|\.jsonl$", "").alias("path"), *columns[1:]))
 
 
-@query(_SESSIONS + "SELECT id, model FROM m")
+@query(SESSIONS + "SELECT id, model FROM m")
 def model_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.untitled_sessions(spark, sf_dir).select("id", "model")
 
 
-_FOLD = f"""
+FOLD = f"""
     WITH e AS ({a.EVENT_SQL}),
     u AS (SELECT *, kind = 'prompt' AND body IS NOT NULL AS said FROM e),
     f AS (
@@ -272,29 +272,29 @@ _FOLD = f"""
 """
 
 
-@query(_FOLD + "SELECT * FROM r")
+@query(FOLD + "SELECT * FROM r")
 def session_fold_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     fold = session_fold(*a.event_sessions(spark, sf_dir))
     return fold.select("path", "storage", "id", "cwd", "started_at", "model", "first_text", "has_meta", "invalid_lines", "parsed_lines")
 
 
-def _event_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+def event_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_titles(session_fold(*a.event_sessions(spark, sf_dir)), a.empty_index(spark))
 
 
-@query(_FOLD + "SELECT storage, count(*) AS files, count(*) AS retained FROM r GROUP BY storage")
+@query(FOLD + "SELECT storage, count(*) AS files, count(*) AS retained FROM r GROUP BY storage")
 def diag_storage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    records = _event_records(spark, sf_dir)
+    records = event_records(spark, sf_dir)
     return reports.storage_diagnostics(records, dedup(records))
 
 
-@query(_FOLD + """, d AS (
+@query(FOLD + """, d AS (
         SELECT path, concat_ws('; ', CASE WHEN NOT has_meta THEN 'no session_meta record found' END, CASE WHEN id = '' THEN 'no session ID' END, CASE WHEN cwd = '' THEN 'no stored cwd/project' END,
             CASE WHEN first_text = '' THEN 'no title or first user message' END, CASE WHEN invalid_lines > 0 THEN concat(invalid_lines, ' invalid JSON line(s)') END) AS problems, storage, id, cwd FROM r)
     SELECT storage, regexp_extract(path, '[^/]*$') AS file, problems, id, CASE WHEN id <> '' THEN 'session_meta' ELSE '' END AS id_source, cwd, path FROM d WHERE problems <> ''
 """)
 def diag_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.file_diagnostics(_event_records(spark, sf_dir))
+    return reports.file_diagnostics(event_records(spark, sf_dir))
 
 
 _COPIES = "concat('key-', cast(conv_id % 40 AS string))"
@@ -310,7 +310,7 @@ def dedup_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup(session_fold(materialise(events(lines), "events"), a.conversation_files(spark, sf_dir))).select("id", "path", "storage", "first_path")
 
 
-@query(_SESSIONS + """SELECT storage, CASE WHEN title = '' THEN '(untitled)' ELSE title END AS title, CASE WHEN cwd = '' THEN '(unknown project)' ELSE cwd END AS project, started_at AS started, id, regexp_extract(path, '[^/]*$') AS file,
+@query(SESSIONS + """SELECT storage, CASE WHEN title = '' THEN '(untitled)' ELSE title END AS title, CASE WHEN cwd = '' THEN '(unknown project)' ELSE cwd END AS project, started_at AS started, id, regexp_extract(path, '[^/]*$') AS file,
     row_number() OVER (ORDER BY cwd, started_at DESC, seq) AS place FROM m""")
 def session_list_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = numbered(a.conversation_sessions(spark, sf_dir), export_order(), "seq")
@@ -318,47 +318,52 @@ def session_list_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.session_list(placed).join(placed.select("id", "place"), "id")
 
 
-@query(_SESSIONS + "SELECT id, row_number() OVER (ORDER BY updated_at DESC, seq) AS place FROM m")
+@query(SESSIONS + "SELECT id, row_number() OVER (ORDER BY updated_at DESC, seq) AS place FROM m")
 def index_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = a.conversation_events(spark, sf_dir)
     rows = with_stats(numbered(a.conversation_sessions(spark, sf_dir, said), export_order(), "seq"), said)
     return numbered(rows, reports.index_order(F.col("seq")), "place").select("id", "place")
 
 
-@query(_SESSIONS + "SELECT id, printf('s%04d', seq) AS code FROM m")
+@query(SESSIONS + "SELECT id, printf('s%04d', seq) AS code FROM m")
 def session_number(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = numbered(a.untitled_sessions(spark, sf_dir), export_order(), "seq")
     return rows.select("id", archive.session_code(F.col("seq")).alias("code"))
 
 
-@query(_SESSIONS + "SELECT DISTINCT CASE WHEN cwd = '' THEN 'unknown' ELSE cwd END AS project_key, project_no FROM p")
+@query(SESSIONS + "SELECT DISTINCT CASE WHEN cwd = '' THEN 'unknown' ELSE cwd END AS project_key, project_no FROM p")
 def project_number(spark: SparkSession, sf_dir: str) -> DataFrame:
     return project_order(numbered(a.untitled_sessions(spark, sf_dir), export_order(), "seq"))
 
 
-_OUT = "concat(printf('p%03d-', project_no), CASE WHEN cwd = '' THEN 'unknown' ELSE regexp_extract(cwd, '[^/]*$') END, printf('/s%04d', seq))"
+SESSION_OUT = "concat(printf('p%03d-', project_no), CASE WHEN cwd = '' THEN 'unknown' ELSE regexp_extract(cwd, '[^/]*$') END, printf('/s%04d', seq))"
 
 
-@query(_SESSIONS + f"SELECT id, concat('md/', {_OUT}, '.md') AS markdown_file, concat('raw/', {_OUT}, '.jsonl') AS raw_export_file FROM p")
+@query(SESSIONS + f"SELECT id, concat('md/', {SESSION_OUT}, '.md') AS markdown_file, concat('raw/', {SESSION_OUT}, '.jsonl') AS raw_export_file FROM p")
 def output_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive.with_paths(a.untitled_sessions(spark, sf_dir)).select("id", "markdown_file", "raw_export_file")
 
 
-@query(_SESSIONS + f"""SELECT cwd AS project, regexp_extract(cwd, '[^/]*$') AS project_name, title, title_source, storage, id AS session_id, started_at, updated_at, model, user_messages, assistant_messages, 0 AS tool_events, path AS source_jsonl,
-    regexp_extract(path, '[^/]*$') AS source_jsonl_name, concat('md/', {_OUT}, '.md') AS markdown_file, concat('raw/', {_OUT}, '.jsonl') AS raw_export_file, seq FROM p""")
+@query(SESSIONS + f"""SELECT cwd AS project, regexp_extract(cwd, '[^/]*$') AS project_name, title, title_source, storage, id AS session_id, started_at, updated_at, model, user_messages, assistant_messages, 0 AS tool_events, path AS source_jsonl,
+    regexp_extract(path, '[^/]*$') AS source_jsonl_name, concat('md/', {SESSION_OUT}, '.md') AS markdown_file, concat('raw/', {SESSION_OUT}, '.jsonl') AS raw_export_file, seq FROM p""")
 def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = a.conversation_events(spark, sf_dir)
     rows = archive.with_paths(a.conversation_sessions(spark, sf_dir, said))
     return archive.manifest(with_stats(rows, said))
 
 
-@query(_SESSIONS + f""", blocks AS (
+def transcript_sql(select: str) -> str:
+    """SQL over w, the sessions with their transcripts; {out} in it is the path of a session's files without their folder and ending."""
+    return SESSIONS + f""", blocks AS (
         SELECT conv_id, string_agg(concat('## ', CASE role WHEN 'user' THEN 'User' ELSE 'Assistant' END, ' - ', {a.STAMP.format(n='turn + 2')}, chr(10), chr(10), text, chr(10), chr(10)), '' ORDER BY turn) AS b
-        FROM conversations WHERE role IN ('user', 'assistant') AND trim(text) <> '' GROUP BY conv_id)
-    SELECT path, concat('md/', {_OUT}, '.md') AS markdown_file, concat('# ', CASE WHEN title = '' THEN '{archive.UNTITLED}' ELSE title END, chr(10), chr(10), '- Project: ', cwd, chr(10), '- Storage: ', storage, chr(10), '- Session ID: ', id, chr(10),
-        '- Started: ', started_at, chr(10), '- Updated: ', updated_at, chr(10), CASE WHEN model = '' THEN '' ELSE concat('- Model: ', model, chr(10)) END, '- Raw JSONL: raw/', {_OUT}, '.jsonl', chr(10), chr(10), '{archive.NOTE}', chr(10), '{archive.REDACTED_NOTE}', chr(10), chr(10),
-        coalesce(b, '')) AS markdown FROM p LEFT JOIN blocks USING (conv_id)
-""")
+        FROM conversations WHERE role IN ('user', 'assistant') AND trim(text) <> '' GROUP BY conv_id),
+    w AS (SELECT p.*, concat('# ', CASE WHEN title = '' THEN '{archive.UNTITLED}' ELSE title END, chr(10), chr(10), '- Project: ', cwd, chr(10), '- Storage: ', storage, chr(10), '- Session ID: ', id, chr(10),
+        '- Started: ', started_at, chr(10), '- Updated: ', updated_at, chr(10), CASE WHEN model = '' THEN '' ELSE concat('- Model: ', model, chr(10)) END, '- Raw JSONL: raw/', {SESSION_OUT}, '.jsonl', chr(10), chr(10), '{archive.NOTE}', chr(10), '{archive.REDACTED_NOTE}', chr(10), chr(10),
+        coalesce(b, '')) AS markdown FROM p LEFT JOIN blocks USING (conv_id))
+    """ + select.replace("{out}", SESSION_OUT)
+
+
+@query(transcript_sql("SELECT path, concat('md/', {out}, '.md') AS markdown_file, markdown FROM w"))
 def transcript(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = a.conversation_events(spark, sf_dir)
     rows = with_stats(archive.with_paths(a.conversation_sessions(spark, sf_dir, said)), said)

@@ -49,6 +49,11 @@ def materialise(df: DataFrame, name: str, by: tuple[str, ...] = ()) -> DataFrame
     return back
 
 
+def each_alone(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A table with a partition for each row, for rows that are pieces of work."""
+    return spark.createDataFrame(spark.sparkContext.parallelize(rows, max(1, len(rows))), schema)
+
+
 def discard(df: DataFrame) -> None:
     """Delete a table made by materialise() that no later plan reads."""
     remove(df.sparkSession, df._skein_path.rsplit("/", 1)[0])

@@ -7,6 +7,7 @@ import sys
 import duckdb
 import pytest
 
+from skein.plans import trees  # noqa: F401  adds the queries over files
 from skein.plans.catalog import ORACLE_SQL, QUERIES
 
 DIR = "/root/testdata/sf0.001"
@@ -39,3 +40,10 @@ def test_entry_without_llm(tmp_path):
             (tmp_path / "skein" / name).symlink_to(f"{root}/skein/{name}")
     done = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; q = e.queries(); print(len(q), any(k.startswith('op') for k in q), set(e.oracle_sql()) <= set(q))"], cwd=tmp_path, capture_output=True, text=True)
     assert done.stdout.split()[1:] == ["False", "True"], done.stderr
+
+
+def test_entry_where_the_llm_folder_cannot_be_imported(tmp_path):
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = "import sys; sys.modules['ahocorasick'] = None; import __spark_entry__ as e; q = e.queries(); print(len(q) > 30, any(k.startswith('op') for k in q))"
+    done = subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True)
+    assert done.stdout.split() == ["True", "False"], done.stderr
