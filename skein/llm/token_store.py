@@ -13,7 +13,8 @@ the shared table: compressed JSON of ids, frequencies (they add up to 2 ** SCALE
 
 Null texts count as empty; a document is its ids and the end id, so an empty one has one id. Repeated rows are documents
 of their own, in the order of a hash of their text; rows without an id come first. An empty table gives an empty folder
-and an empty result; columns other than id and text are ignored, whatever their names.
+and an empty result; columns other than id and text are ignored, whatever their names. A vocabulary of more than 2 ** (SCALE - 1)
+different ids raises an error: the table could not give each a frequency worth having.
 """
 
 from __future__ import annotations
@@ -33,8 +34,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.llm.pieces import balanced
-from skein.storage import materialise, new_path, remove
 from skein.llm.token_counts import library_encoder
+from skein.storage import each_alone, materialise, new_path, remove
 
 MAGIC = b"SKEINRANS1"
 #: Bits of the sum of frequencies, coders in a block, ids in a block, bits of a word, least state.
@@ -218,11 +219,12 @@ def _scratch(path: str) -> Iterator[np.ndarray]:
 
 
 def write_store(docs: DataFrame, folder: str, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Write the files in ascending order of ids; returns path, number of ids before it and number of ids of each file."""
+    """Write the files in ascending order of ids; returns path, number of ids before it and number of ids of each file, a partition each."""
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("t"))
-    ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "t").select("doc_id", "text")
+    # By the whole order, so that rows without an id, or of one id, are cut into ranges like any others.
+    ordered = rows.repartitionByRange("doc_id", "t").sortWithinPartitions("doc_id", "t").select("doc_id", "text")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = library_encoder(tokenizer)
@@ -269,7 +271,7 @@ def write_store(docs: DataFrame, folder: str, tokenizer: str, end_id: int, id_co
                 write_file(path, index, _scratch(scratch), shared)
                 yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([path])], ["part", "path"])
 
-    todo = parts.where("id = -1").select("part", "path").repartition(max(1, len(ranges)), "part")
+    todo = each_alone(spark, [(part, path) for part, path, _ in ranges], "part long, path string")
     coded = materialise(todo.mapInArrow(code, "part long, path string"), "files")
     if ranges:
         remove(spark, f"{folder}/scratch")
@@ -278,7 +280,7 @@ def write_store(docs: DataFrame, folder: str, tokenizer: str, end_id: int, id_co
     for part, _, n in ranges:
         files.append((names[part], base, n))
         base += n
-    return spark.createDataFrame(files, "path string, base long, n long")
+    return each_alone(spark, files, "path string, base long, n long")
 
 
 def read_store(spark: SparkSession, files: DataFrame, folder: str) -> DataFrame:
@@ -297,7 +299,7 @@ def read_store(spark: SparkSession, files: DataFrame, folder: str) -> DataFrame:
                 if rows:
                     yield _rows(rows)
 
-    return files.repartition(max(1, files.count()), "path").mapInArrow(decode, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return files.mapInArrow(decode, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def _rows(rows: list[tuple]) -> pa.RecordBatch:

@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.storage import materialise, new_path
+from skein.storage import each_alone, materialise, new_path
 
 #: Written bytes and captures after which an archive file ends, captures between entries of a run's sparse index, runs in a merge.
 ARCHIVE_BYTES, ARCHIVE_CAPTURES, SPARSE, FAN_IN = 256 << 20, 100_000, 256, 64
@@ -290,11 +290,6 @@ class LoserTree:
             self._play(winner)
 
 
-def _each_alone(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
-    """A table with a partition for each row, for rows that are pieces of work."""
-    return spark.createDataFrame(spark.sparkContext.parallelize(rows, max(1, len(rows))), schema)
-
-
 def read_archives(archives: DataFrame, folder: str) -> DataFrame:
     """Read each archive whole and write its run; returns path, number of captures and evenly spaced places of each run."""
 
@@ -309,7 +304,7 @@ def read_archives(archives: DataFrame, folder: str) -> DataFrame:
                 places = [dict(zip(("key", "time", "id"), _place(c))) for c in captures[:: max(1, len(captures) // 16)]]
                 yield pa.RecordBatch.from_arrays([pa.array([run]), pa.array([len(captures)], pa.int64()), pa.array([places], _PLACES)], ["path", "n", "places"])
 
-    spread = _each_alone(archives.sparkSession, [(r.path,) for r in archives.toLocalIterator()], "path string")
+    spread = each_alone(archives.sparkSession, [(r.path,) for r in archives.toLocalIterator()], "path string")
     return materialise(spread.mapInArrow(read, RUN), "runs")
 
 
@@ -336,7 +331,7 @@ def merge_runs(spark: SparkSession, runs: DataFrame, folder: str, fan_in: int =
                     write_run(own, iter(LoserTree([RunReader(p).between(None, None) for p in paths], _order)))
                     yield pa.RecordBatch.from_arrays([pa.array([target]), pa.array([own])], ["target", "path"])
 
-        merged = materialise(_each_alone(spark, groups, "target string, paths array<string>").mapInArrow(merge, "target string, path string"), "pass")
+        merged = materialise(each_alone(spark, groups, "target string, paths array<string>").mapInArrow(merge, "target string, path string"), "pass")
         names = {r.target: r.path for r in merged.toLocalIterator()}
         found = [(names[t], totals[k]) for k, (t, _) in enumerate(groups)]
         passes += 1
@@ -362,7 +357,7 @@ def merge_runs(spark: SparkSession, runs: DataFrame, folder: str, fan_in: int =
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, schema)
 
-    todo = _each_alone(spark, cuts, "range long, low_key string, low_time string, low_id long, high_key string, high_time string, high_id long")
+    todo = each_alone(spark, cuts, "range long, low_key string, low_time string, low_id long, high_key string, high_time string, high_id long")
     merged = materialise(todo.mapInArrow(ranges, "range long, place long, key string, time string, id long, n long, digest string, kind string, refers long, path string, offset long"), "merged")
     sizes = {r["range"]: r["n"] for r in merged.groupBy("range").agg(F.count("*").alias("n")).toLocalIterator()}
     before = list(itertools.accumulate((sizes.get(k, 0) for k in range(len(cuts))), initial=0))
