@@ -221,6 +221,62 @@ def test_near_groups(docs, no_docs, texts):
     assert {r.doc_id for r in kept.collect()} == {i for i, v in got.items() if v[1]} | {None}
 
 
+@pytest.mark.parametrize("kind", ["edits", "repeats", "passage", "cuts", "families"])
+def test_crowded_buckets_lose_no_link(spark, make, monkeypatch, kind):
+    """Crowds of texts that share much, most of them below 0.8 of each other, against all pairs."""
+    import random
+
+    from skein.llm import near_dedup
+
+    monkeypatch.setattr(near_dedup, "SMALL", 6)  # nearly all buckets are crowded
+    r = random.Random(kind)
+    base = make(70, 120).split()
+    rows = []
+
+    def edited(words, n):
+        words = list(words)
+        for _ in range(n):
+            k = r.randrange(len(words))
+            words[k : k + r.randint(0, 1)] = [f"w{r.randrange(60)}"] * r.randint(0, 2)
+        return words
+
+    for i in range(160):
+        if kind == "edits":
+            words = edited(base, r.randint(0, 7))
+        elif kind == "repeats":
+            words = edited(make(800 + i, r.randint(5, 40)).split(), 1) + ["is", "on", "he"] * r.randint(15, 30)
+            words = edited(words, r.randint(0, 2)) if r.random() < 0.8 else rows[r.randrange(len(rows))][1].split() + ["end"] if rows else words
+        elif kind == "passage":
+            words = make(800 + i // 3, r.randint(8, 20)).split() + base[:70] + make(900 + i // 2, 12).split()
+        elif kind == "cuts":
+            words = base[r.randrange(30) :][: r.randint(60, 120)] * r.choice([1, 1, 2])
+        else:
+            words = edited(base[:60] + make(500 + i % 4, 60).split(), r.randint(0, 5)) * r.choice([1, 1, 1, 2])
+        rows.append((i, " ".join(words)))
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {i: c for i, (c,) in by_id(near_groups(table), "class_id").items()}
+    grams = {i: near_dedup.shingles([t])[1:] for i, t in rows}
+    linked = lambda i, j: near_dedup.similarity(grams[i], grams[j]) >= 0.8
+    expect, left = {}, set(grams)
+    while left:  # connected by all pairs
+        todo = [first := min(left)]
+        while todo:
+            i = todo.pop()
+            if i in left:
+                left.discard(i)
+                expect[i] = first
+                todo += [j for j in left if linked(i, j)]
+    # Banding may miss a pair, so classes may be finer than by all pairs, but never coarser.
+    assert all(expect[c] == expect[i] for i, c in got.items())
+    assert len(set(got.values())) <= len(set(expect.values())) + 1
+    bands = defaultdict(set)
+    for x in near_dedup.sketches(table.selectExpr("doc_id", "text", "0L AS t")).collect():
+        for b in x.bands:
+            bands[b].add(x.doc_id)
+    pairs = {(i, j) for held in bands.values() for i in held for j in held if i < j and got[i] != got[j]}
+    assert not any(linked(i, j) for i, j in pairs)
+
+
 def test_near_groups_of_chains_and_a_large_bucket(spark, make):
     import random
 
