@@ -222,3 +222,19 @@ def test_containment():
 @pytest.mark.parametrize("code", HINTS)
 def test_hints(code):
     assert HINTS[code][0] in with_hints(SkeinError(code, "message"))
+
+
+def test_menu():
+    from skein.menu import run as menu
+
+    said = iter(["l", "x", "", "p", " ", "p", " app ", "/tmp/out ", "NO", "a", "", "y", "d", "q"])
+    done = []
+    assert menu(lambda _: next(said), lambda argv: done.append(argv) or len(done)) == 4
+    assert done == [["--list"], ["--project", "app", "--out", "/tmp/out", "--no-raw"], ["--all"], ["--diagnose"]]
+    for argv in done:
+        parse_args(argv)
+
+    def ended(_):
+        raise EOFError
+
+    assert menu(ended) == 0
