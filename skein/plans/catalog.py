@@ -5,6 +5,8 @@ Ordered results carry their order as columns, numbers among them, since a result
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -110,7 +112,19 @@ def slug(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "part").select("p_partkey", t.ascii_slug(F.col("p_name")).alias("name"), t.ascii_slug(F.concat(F.lit("--"), "p_type", F.lit(" #"))).alias("kind"), t.ascii_slug(F.lit("##")).alias("nothing"))
 
 
-@query(None)
+def _without_marks(x: str) -> str:
+    """SQL that takes Latin letters with marks apart: a letter, and a hyphen for its marks, which slugs turn into one."""
+    marked: dict[str, str] = {}
+    for c in map(chr, range(0xC0, 0x250)):
+        base, *marks = unicodedata.normalize("NFKD", c)
+        if marks and base.isascii() and base.isalpha() and all(map(unicodedata.combining, marks)):
+            marked[base] = marked.get(base, "") + c
+    for base, letters in marked.items():
+        x = f"regexp_replace({x}, '[{letters}]', '{base}-', 'g')"
+    return x
+
+
+@query(f"SELECT doc_id, {_SLUG_SQL.format(x=_without_marks("coalesce(text, '')"))} AS name FROM documents")
 def slug_unicode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.with_slug(read(spark, sf_dir, "documents"), "name", F.col("text")).select("doc_id", "name")
 
