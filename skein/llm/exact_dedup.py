@@ -7,7 +7,7 @@ on under a number of its own; equality is decided by the bytes themselves, and a
 
 Every split counts its groups with partial aggregates and writes the counts of those with copies; they are joined back as a
 table of their own, which is broadcast where it is small and otherwise joined with hot keys split by Spark's adaptive plans.
-Texts are normalised once; rows that go on are written to the shared folder between splits.
+Rows that go on are written to the shared folder between splits.
 
 Null texts count as empty, and empty texts are one group. Rows with a null id or with the same id are rows of their own;
 of equal texts, the longest original, then the smallest id stays (a null id stays only where no other does; of repeated
@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skein.llm.rows import text_key, without
-from skein.llm.storage import materialise
+from skein.storage import materialise
 
 #: Bytes of the first split, and how the stride grows from split to split.
 FIRST_STRIDE, GROWTH = 64, 8
@@ -38,22 +38,26 @@ def marked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     """One row per document: doc_id, t (its text's key), keep_id, group_size, kept, text_sha256."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     norm = normalised(text)
-    raw = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_key(F.col(text_col)).alias("t"), F.length(text).alias("cp"), norm.cast("binary").alias("norm"), F.sha2(norm, 256).alias("sha"))
-    live = materialise(raw.select("doc_id", "t", "cp", "sha", F.octet_length("norm").alias("len"), F.octet_length("norm").cast("long").alias("group"), F.substring("norm", 1, FIRST_STRIDE).alias("chunk"), F.substring("norm", FIRST_STRIDE + 1, 1 << 30).alias("rest")), "live")
+    raw = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_key(F.col(text_col)).alias("t"), F.length(text).alias("cp"), norm.cast("binary").alias("norm"))
+    raw = raw.select("doc_id", "t", "cp", F.sha2("norm", 256).alias("sha"), F.octet_length("norm").alias("len"), F.octet_length("norm").cast("long").alias("group"), F.substring("norm", 1, FIRST_STRIDE).alias("chunk"), F.substring("norm", FIRST_STRIDE + 1, 1 << 30).alias("rest"))
+    # The first split needs the first bytes alone; whole texts move only where these agree.
+    live = materialise(raw.drop("rest"), "digits")
     own = F.struct("cp", (-F.col("doc_id")).alias("neg"))
     end, stride, done = FIRST_STRIDE, FIRST_STRIDE, None
     while True:
         groups = live.groupBy("group", "chunk").agg(F.count("*").alias("n"), F.max(own).alias("best"), F.max("len").alias("end")).where("n > 1")
         groups = materialise(groups.withColumn("number", F.monotonically_increasing_id()), "groups")
-        met = live.join(groups, ["group", "chunk"], "left")
+        met = live.drop("rest").join(groups, ["group", "chunk"], "left")
         settled = F.col("n").isNull() | (F.col("end") <= end)  # alone, or at the end of the text
         part = met.where(settled).select("doc_id", "t", "cp", "sha", F.coalesce("n", F.lit(1).cast("long")).alias("n"), F.coalesce("best", own).alias("best"))
         done = part if done is None else done.unionByName(part)
-        open_groups = groups.where(F.col("end") > end).select("group", "chunk", "number")
+        # Merged at every size: a broadcast of the groups would do for small tables only, and plans change as data grow.
+        open_groups = groups.where(F.col("end") > end).select("group", "chunk", "number").hint("merge")
         if open_groups.isEmpty():
             break
+        texts = raw.where(F.col("len") > end) if end == FIRST_STRIDE else live
         end, stride = end + stride * GROWTH, stride * GROWTH
-        onward = live.join(open_groups, ["group", "chunk"]).select("doc_id", "t", "cp", "sha", "len", F.col("number").alias("group"), F.substring("rest", 1, stride).alias("chunk"), F.substring("rest", stride + 1, 1 << 30).alias("rest"))
+        onward = texts.join(open_groups, ["group", "chunk"]).select("doc_id", "t", "cp", "sha", "len", F.col("number").alias("group"), F.substring("rest", 1, stride).alias("chunk"), F.substring("rest", stride + 1, 1 << 30).alias("rest"))
         live = materialise(onward, "live")
     keep = -F.col("best.neg")
     kept = keep.eqNullSafe(F.col("doc_id")) & (F.col("cp") == F.col("best.cp"))
