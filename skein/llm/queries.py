@@ -83,6 +83,26 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op2_suffix_dedup": """
+        WITH d AS (
+            SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, '')) AS n FROM documents
+        ), s AS (
+            SELECT doc_id, p, hash(substr(h, 2 * p + 1, 200)) AS x FROM (SELECT doc_id, h, unnest(range(0, n - 99)) AS p FROM d WHERE n >= 100)
+        ), f AS (
+            SELECT x, min((doc_id, p)) AS first FROM s GROUP BY x
+        ), o AS (
+            SELECT doc_id, p, coalesce(p > lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 100, true) AS new FROM s JOIN f USING (x) WHERE (doc_id, p) > first
+        ), g AS (
+            SELECT doc_id, p, count(*) FILTER (WHERE new) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM o
+        ), r AS (
+            SELECT doc_id, min(p) AS a, max(p) + 100 AS b FROM g GROUP BY doc_id, run
+        ), k AS (
+            SELECT doc_id, a, b, lag(b, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS before FROM r
+        ), c AS (
+            SELECT doc_id, any_value(n) AS n, sum(b - a) AS removed, count(*) AS spans, string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) || substr(any_value(h), 2 * max(b) + 1) AS kept FROM k JOIN d USING (doc_id) GROUP BY doc_id
+        )
+        SELECT doc_id, d.n AS n_bytes, coalesce(removed, 0)::BIGINT AS n_removed, coalesce(spans, 0) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256 FROM d LEFT JOIN c USING (doc_id)
+    """,
     "op3_exact_dedup": r"""
         WITH d AS (
             SELECT doc_id, length(coalesce(text, '')) AS cp, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS norm FROM documents
@@ -105,4 +125,15 @@ ORACLE_SQL = {
             array_to_string(flatten(list_transform(bits, lambda v: list_transform([15, 10, 5, 0], lambda s: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((v >> s) & 31)::INT, 1)))), '') AS payload_digest,
             CASE WHEN page_id = kept THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id < kept THEN kept END AS refers_to, strftime(TIMESTAMP '2024-01-01' + to_seconds(page_id), '%Y-%m-%dT%H:%M:%SZ') AS captured_at, url_key, row_number() OVER (ORDER BY url_key, page_id) - 1 AS position FROM q
     """,
+    # What the tables' pages hold: one article of headings and paragraphs, and of character references &quot; and &amp; alone.
+    "op8_html_extraction": r"""
+        WITH a AS (
+            SELECT page_id, url, string_split_regex(regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)</article>', 1), '</?(?:p|h1)>') AS parts FROM pages
+        ), b AS (
+            SELECT page_id, url, list_transform(parts, lambda x: trim(regexp_replace(replace(replace(regexp_replace(replace(x, '<br>', ' '), '<[^>]*>', '', 'g'), '&quot;', '"'), '&amp;', '&'), '\s+', ' ', 'g'))) AS parts FROM a
+        ), c AS (
+            SELECT page_id, url, array_to_string(list_filter(parts, lambda x: x <> ''), chr(10) || chr(10)) AS text FROM b
+        )
+        SELECT page_id, url, text, length(text) AS n_chars FROM c
+    """,
 }
