@@ -5,9 +5,12 @@ it content; these are the capacities of its edges from the source and to the sin
 blocks that stand close in the document tree, are joined by smoothness edges. The minimum cut is the labelling of least
 total cost; blocks on the source's side are the main text.
 
-The classifier needs no labelled pages: it is a log-linear score of what the block is and stands in (landmark elements,
-words of class, id and role, density of links, length, end of sentence). Elements that are never text (script, style,
-forms and the like) make no blocks. Their rules are stated below as fixed values.
+The classifier is a log-linear score of two parts. One says what the block stands in: landmark elements, words of class, id
+and role; its rules are stated below. The other says what the block is like: length, density of links, end of sentence, kind
+of element. Its weights are trained without labelled pages: blocks in the landmarks of an article and of what is none are
+examples for all blocks, and `train` fits a logistic model to them that stays near START where they teach nothing. It reads a
+bounded sample: PAGES pages of smallest hash, and at most SAMPLE_CHARS characters (pages are taken whole). Elements that are
+never text (script, style, forms and the like) make no blocks.
 
 Null html counts as empty; a page without main text gives an empty text. Repeated rows are each extracted on their own;
 an empty table gives an empty result; columns other than id, url and html are ignored, whatever their names.
@@ -18,7 +21,9 @@ from __future__ import annotations
 import html as entities
 import re
 from collections import Counter, deque
+from collections.abc import Iterable
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -60,9 +65,13 @@ GOOD_NAMES = {"article", "content", "entry", "main", "post", "story", "text", "b
 BAD_NAME, GOOD_NAME, HIDDEN = -8.0, 1.5, -12.0
 #: An element with such a score or less is no part of the article around it.
 FOREIGN = -3.0
-BIAS, PER_WORD, MOST_FOR_WORDS, SENTENCE = -0.5, 0.05, 2.0, 0.75
-#: For a block that is all links; within an article, where lists of links belong to it.
-LINKS, LINKS_IN_ARTICLE = -4.0, -1.0
+# What a block is like: one, tens of words up to MOST_TENS, end of sentence, share of links outside and inside an article (where
+# lists of links belong to it), heading, item or cell; and the weights that training starts from and is drawn to.
+START = (-0.5, 0.5, 0.75, -4.0, -1.0, 0.0, 0.0)
+MOST_TENS = 4.0
+ITEMS = {"li", "dt", "dd", "td", "th", "caption", "figcaption", "summary", "legend"}
+#: Scores of places from which on a block is an example of content, and of none; bounds of the sample; pull to START; steps of Newton.
+CONTENT_PLACE, OTHER_PLACE, PAGES, SAMPLE_CHARS, PULL, STEPS = 3.0, -5.0, 2000, 32_000_000, 0.005, 25
 # Smoothness: between neighbours, and by steps through the tree to the next block; nothing beyond FAR steps.
 NEIGHBOUR, PROXIMITY, FAR = 0.25, 1.0, 6
 
@@ -230,22 +239,62 @@ def parsed(html: str) -> tuple[list[_Element], list[_Block]]:
     return elements, out
 
 
-def blocks_of(html: str) -> list[tuple[str, float, _Element]]:
-    """Text, score and element of each block that has text, in page order."""
+def described(html: str) -> list[tuple[str, tuple[float, ...], _Element]]:
+    """Text, what it is like, and element of each block that has text, in page order."""
     elements, out = parsed(html)
     _score(elements)
     found = []
     for b in out:
         joined = SPACE.sub(" ", "".join(b.parts)).strip()
-        if joined and b.element.score is not None:
-            words = joined.count(" ") + 1
-            links = (LINKS_IN_ARTICLE if b.element.article else LINKS) * min(1.0, b.linked / max(1, len("".join(b.parts).strip())))
-            score = b.element.score + BIAS + min(PER_WORD * words, MOST_FOR_WORDS) + links
-            score += SENTENCE if joined[-1] in ".!?…。！？»”\"" else 0.0
-            found.append((joined, score, b.element))
+        if not joined or b.element.score is None:
+            continue
+        links = min(1.0, b.linked / max(1, len("".join(b.parts).strip())))
+        e = b.element
+        while e.tag not in BLOCKS and e.parent is not None:
+            e = e.parent
+        like = (1.0, min((joined.count(" ") + 1) / 10, MOST_TENS), float(joined[-1] in ".!?…。！？»”\""), 0.0 if b.element.article else links, links if b.element.article else 0.0, float(e.tag in HEADINGS), float(e.tag in ITEMS))
+        found.append((joined, like, b.element))
     return found
 
 
+def blocks_of(html: str, weights: tuple[float, ...] = START) -> list[tuple[str, float, _Element]]:
+    """Text, score and element of each block that has text, in page order."""
+    return [(text, e.score + sum(w * x for w, x in zip(weights, like)), e) for text, like, e in described(html)]
+
+
+def fit(htmls: Iterable[str]) -> tuple[float, ...]:
+    """Weights of what blocks are like, from blocks whose place says what they are; START without such blocks of both kinds."""
+    rows, content = [], []
+    for html in htmls:
+        for _, like, e in described(html):
+            if e.score >= CONTENT_PLACE or e.score <= OTHER_PLACE:
+                rows.append(like)
+                content.append(e.score > 0)
+    x, y = np.array(rows, float).reshape(-1, len(START)), np.array(content, bool)
+    if y.all() or not y.any():
+        return START
+    share = np.where(y, 0.5 / y.sum(), 0.5 / (~y).sum())  # either kind counts for half
+    start = np.array(START)
+    w = start.copy()
+    for _ in range(STEPS):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        slope = x.T @ (share * (p - y)) + PULL * (w - start)
+        curve = (x * (share * p * (1 - p))[:, None]).T @ x + PULL * np.eye(len(start))
+        w = w - np.linalg.solve(curve, slope)
+    return tuple(w.tolist())
+
+
+def train(pages: DataFrame, html_col: str = "html") -> tuple[float, ...]:
+    """Weights fitted to a bounded sample of the pages."""
+    html = F.coalesce(F.col(html_col), F.lit(""))
+    sample, chars = [], 0
+    for r in pages.select(html.alias("html"), F.xxhash64(html).alias("h")).orderBy("h", "html").limit(PAGES).toLocalIterator():
+        if (chars := chars + len(r.html)) > SAMPLE_CHARS and sample:
+            break
+        sample.append(r.html)
+    return fit(sample)
+
+
 def minimum_cut(gains: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
     """Labels of least cost: max(gain, 0) for a False, max(-gain, 0) for a True, an edge's weight for ends that differ.
 
@@ -337,20 +386,20 @@ def graph_of(blocks: list[tuple[str, float, _Element]]) -> tuple[list[float], li
     return [score for _, score, _ in blocks], edges
 
 
-def main_text(html: str | None) -> str:
-    blocks = blocks_of(html or "")
+def main_text(html: str | None, weights: tuple[float, ...] = START) -> str:
+    blocks = blocks_of(html or "", weights)
     if not blocks:
         return ""
     content = minimum_cut(*graph_of(blocks))
     return "\n\n".join(text for (text, _, _), kept in zip(blocks, content, strict=True) if kept)
 
 
-def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+def extract_pages(pages: DataFrame, weights: tuple[float, ...] = START, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row per page: page_id, url, text, n_chars."""
 
     def extract(batches):
         for batch in batches:
-            texts = [main_text(x.as_py()) for x in batch.column("html")]
+            texts = [main_text(x.as_py(), weights) for x in batch.column("html")]
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))

@@ -10,6 +10,7 @@ from skein.llm.bpe import bpe_round_trip
 from skein.llm.decontamination import contaminated
 from skein.llm.exact_dedup import exact_groups
 from skein.llm.html_extract import extract_pages
+from skein.llm.html_extract import train as train_pages
 from skein.llm.near_dedup import near_groups
 from skein.llm.suffix_dedup import remove_repeats
 from skein.llm.token_counts import token_counts
@@ -58,7 +59,8 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extract_pages(read(spark, sf_dir, "pages"))
+    pages = read(spark, sf_dir, "pages")
+    return extract_pages(pages, train_pages(pages))
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ import random
 
 import pytest
 
-from skein.llm.html_extract import extract_pages, main_text, minimum_cut
+from skein.llm.html_extract import START, described, extract_pages, fit, main_text, minimum_cut, train
 from skein.storage import new_path
 from skein.llm.warc import FIELDS, LoserTree, RunReader, archive_round_trip, members, parse_record, read_archives, url_key, write_archives, write_run
 
@@ -202,3 +202,34 @@ def test_equal_pages_in_several_rows_are_each_extracted(spark):
     table = spark.createDataFrame([(*r, "t", 3) for r in rows], "page_id long, url string, html string, text string, n_chars int")
     got = sorted(((r.page_id, r.url, r.text) for r in extract_pages(table).collect()), key=str)
     assert got == sorted(((i, u, ALL if h else "") for i, u, h in rows), key=str)
+
+
+def page(r, landmarks):
+    """A page of the kind that weights are learned from, and its main text; or one whose elements say nothing of themselves."""
+    word = lambda: "".join(r.choice("aeioubcdfgl") for _ in range(r.randint(1, 9)))
+    words = lambda a, b: " ".join(word() for _ in range(r.randint(a, b)))
+    menu = "".join(f"<li><a href=x>{words(1, 3)}</a></li>" for _ in range(r.randint(4, 9)))
+    paragraphs = [f"{words(8, 60)}." for _ in range(r.randint(3, 7))]
+    inside = "".join(f"<p>{p}</p>" for p in paragraphs)
+    foot = f"{words(2, 5)} <a href=y>{words(1, 2)}</a>"
+    nav, article, footer = ("nav", "article", "footer") if landmarks else ("div", "div", "div")
+    return f"<body><{nav}><ul>{menu}</ul></{nav}><{article}>{inside}</{article}><{footer}>{foot}</{footer}></body>", "\n\n".join(paragraphs)
+
+
+def test_weights_learned_in_landmarks_hold_where_there_are_none(spark):
+    r = random.Random(4)
+    learned = [page(r, True) for _ in range(60)]
+    weights = fit(h for h, _ in learned)
+    assert weights != START and weights == fit(h for h, _ in learned)
+    assert all(main_text(h, weights) == t for h, t in learned)
+    others = [page(r, False) for _ in range(100)]
+    right, before = (sum(main_text(h, w) == t for h, t in others) for w in (weights, START))
+    assert right >= 99 and right > before, (right, before)
+    table = spark.createDataFrame([(k, "u", h, 1) for k, (h, _) in enumerate(learned)] + [(None, None, None, 0)], "page_id long, url string, html string, n int").repartition(3)
+    assert train(table) == pytest.approx(fit(sorted({h for h, _ in learned} | {""})))
+    assert train(table.where("1 = 0")) == START == fit(["<p>no landmarks here.</p>", ""])
+
+
+def test_what_blocks_are_like():
+    got = [like for _, like, _ in described("<h2>One two</h2><p>A sentence.</p><ul><li><a href=x>link</a> is</ul><article><p><a href=x>abc</a></p></article>")]
+    assert got == [(1.0, 0.2, 0.0, 0.0, 0.0, 1.0, 0.0), (1.0, 0.2, 1.0, 0.0, 0.0, 0.0, 0.0), (1.0, 0.2, 0.0, pytest.approx(4 / 7), 0.0, 0.0, 1.0), (1.0, 0.1, 0.0, 0.0, 1.0, 0.0, 0.0)]
