@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from skein.llm.pieces import PieceEncoder, balanced
 
 #: Pairs of tokens remembered by a worker.
-MEMO_PAIRS = 1 << 20
+MEMO_PAIRS = 1 << 18
 
 
 class BytePairs:
@@ -121,7 +121,7 @@ def pair_encoder(path: str, pattern: str) -> tuple[PieceEncoder, BytePairs, dict
     """The encoder of a rank file. One for each worker process."""
     pairs = BytePairs(read_ranks(path))
     words = lambda new: [array("I", pairs.encode(w.encode())).tobytes() for w in new]
-    return PieceEncoder(pattern, words), pairs, {r: str(r) for r in pairs.token}
+    return PieceEncoder(pattern, words, forget=pairs.pair.cache_clear), pairs, {r: str(r) for r in pairs.token}
 
 
 def bpe_round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.pieces import balanced
+from skein.llm.pieces import balanced, release
 from skein.llm.rows import text_key, without
 from skein.llm.words import ngrams, word_hashes
 
@@ -133,6 +133,7 @@ def passages(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
         items = Items(block)
 
         def match(batches, items=items):
+            release()
             for batch in balanced(batches, "text"):
                 flat, offsets = word_hashes(batch.column("text").fill_null("").to_pylist())
                 found = list(items.matches(flat, offsets))

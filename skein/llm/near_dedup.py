@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from skein.llm.crowded import left_over, stars, thinned
 from skein.llm.graph import components, joined_classes
-from skein.llm.pieces import balanced
+from skein.llm.pieces import balanced, release
 from skein.llm.rows import text_key, without
 from skein.storage import materialise
 from skein.llm.words import mix, ngrams, word_hashes
@@ -120,6 +120,7 @@ def sketches(rows: DataFrame) -> DataFrame:
     """doc_id, name of the weighted shingle set (h1, h2), t as it came, and band hashes."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in balanced(batches, "text", BATCH_BYTES):
             texts = batch.column("text").fill_null("").to_pylist()
             n = len(texts)

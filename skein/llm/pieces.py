@@ -9,6 +9,7 @@ Texts with other white space or a special token's string take a plain route with
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
+from weakref import WeakSet
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +20,17 @@ import regex
 _ODD_SPACE = r"\t\x0b\x0c\r\x1c-\x1f\x{85}\x{A0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 _NOT_PLAIN = rf"^[ \n]|[ \n][ \n]|[ \n]$|[{_ODD_SPACE}]"
 #: Bytes of text handled at once, and a cache's most entries.
-BATCH_BYTES, CACHE_ENTRIES = 8 << 20, 400_000
+BATCH_BYTES, CACHE_ENTRIES = 2 << 20, 300_000
+#: The encoders of this process.
+_encoders: WeakSet[PieceEncoder] = WeakSet()
+
+
+def release() -> None:
+    """Forget what this process's encoders remember: for operators whose worker may have encoded texts before."""
+    for encoder in _encoders:
+        encoder.words.clear()
+        encoder.pieces.clear()
+        encoder.forget()
 
 
 class PieceEncoder:
@@ -30,9 +41,11 @@ class PieceEncoder:
     encode_words returns.
     """
 
-    def __init__(self, pattern: str, encode_words: Callable[[list[str]], list[bytes]], specials: tuple[str, ...] = (), encode_text: Callable[[str], list[int]] | None = None):
+    def __init__(self, pattern: str, encode_words: Callable[[list[str]], list[bytes]], specials: tuple[str, ...] = (), encode_text: Callable[[str], list[int]] | None = None, forget: Callable[[], None] = lambda: None):
         self.find = regex.compile(pattern).findall
         self.encode_words, self.specials, self.encode_text = encode_words, specials, encode_text
+        self.forget = forget
+        _encoders.add(self)
         self.words: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
         self.not_plain = _NOT_PLAIN + "".join("|" + regex.escape(s, special_only=True) for s in specials)

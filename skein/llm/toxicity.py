@@ -30,6 +30,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from skein.llm.pieces import release
+
 #: Bounds of the sample that is fitted: documents per label, and characters in all.
 SAMPLE, SAMPLE_CHARS = 4000, 48_000_000
 #: A feature needs so many different sentences, and so many times the odds of all documents; lengths of beginnings.
@@ -181,6 +183,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     """One row per document: doc_id, held_out, score, predicted."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             scores = [model.document(t.as_py() or "") for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores, pa.float64()), pa.array([int(s >= threshold) for s in scores], pa.int32())], ["doc_id", "score", "predicted"])
@@ -214,6 +217,7 @@ def keep_clean(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
 
     @F.pandas_udf("boolean")
     def rejected(texts: pd.Series) -> pd.Series:
+        release()
         return texts.map(lambda t: model.document(t or "") >= THRESHOLD)
 
     return docs.where(~rejected(F.col(text_col)))
