@@ -3,7 +3,9 @@
 A text is cut where byte-level pre-tokenisation cannot see across the cut: in front of a single space and around a
 single newline that stand between non-space characters. The pieces of a batch are dictionary-encoded, so that Python
 handles each distinct piece of a batch once and, through a bounded cache, each distinct pre-token of a worker once.
-Texts with other white space or a special token's string take a plain route with the same result.
+Texts with other white space take a plain route with the same result, long ones part by part: they are cut in front of a
+single space between letters, digits or signs, wherever else odd white space stands. Texts with a special token's string go
+to the library whole.
 """
 
 from __future__ import annotations
@@ -19,8 +21,21 @@ import regex
 #: Unicode's White_Space but for space and newline, and the separators that some regex engines add to it.
 _ODD_SPACE = r"\t\x0b\x0c\r\x1c-\x1f\x{85}\x{A0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 _NOT_PLAIN = rf"^[ \n]|[ \n][ \n]|[ \n]$|[{_ODD_SPACE}]"
-#: Bytes of text handled at once, and a cache's most entries.
-BATCH_BYTES, CACHE_ENTRIES = 2 << 20, 300_000
+#: Bytes of text handled at once, a cache's most entries, and characters after which a text with odd white space is cut.
+BATCH_BYTES, CACHE_ENTRIES, PART = 2 << 20, 300_000, 1 << 16
+#: A pre-token begins at such a space, whatever stands around it.
+_SAFE = regex.compile(r"(?<=[\p{L}\p{N}!-~]) (?=[\p{L}\p{N}!-~])")
+
+
+def parts_of(text: str) -> Iterator[str]:
+    """A text in parts of PART characters or more, cut where pre-tokens begin."""
+    begin = 0
+    while len(text) - begin > PART and (m := _SAFE.search(text, begin + PART)):
+        yield text[begin : m.start()]
+        begin = m.start()
+    yield text[begin:]
+
+
 #: The encoders of this process.
 _encoders: WeakSet[PieceEncoder] = WeakSet()
 
@@ -100,6 +115,25 @@ class PieceEncoder:
             keep[first + k] = False
         return flat[at[keep]], counts - self.newline
 
+    def _odd(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text, by the pattern, some parts at once."""
+        out: list[list[bytes]] = [[] for _ in texts]
+        held: list[list[str]] = []
+        owners: list[int] = []
+        size = 0
+        for k, t in enumerate(texts):
+            for part in parts_of(t):
+                held.append(self.find(part))
+                owners.append(k)
+                size += len(part)
+                if size >= 8 * PART:
+                    for owner, ids in zip(owners, self._of_words(held), strict=True):
+                        out[owner].append(ids)
+                    held, owners, size = [], [], 0
+        for owner, ids in zip(owners, self._of_words(held), strict=True):
+            out[owner].append(ids)
+        return [b"".join(x) for x in out]
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts in a row, and how many each text has. Null counts as empty."""
         texts = texts.cast(pa.large_string()).fill_null("")
@@ -113,8 +147,8 @@ class PieceEncoder:
         rest = np.flatnonzero(~plain)
         others = texts.take(pa.array(rest)).to_pylist()
         whole = [any(s in t for s in self.specials) for t in others]
-        split = iter(self._of_words([self.find(t) for t, w in zip(others, whole, strict=True) if not w]))
-        got = [np.array(self.encode_text(t), np.uint32) if w else np.frombuffer(next(split), np.uint32) for t, w in zip(others, whole, strict=True)]
+        odd = iter(self._odd([t for t, w in zip(others, whole, strict=True) if not w]))
+        got = [np.array(self.encode_text(t), np.uint32) if w else np.frombuffer(next(odd), np.uint32) for t, w in zip(others, whole, strict=True)]
         counts[rest] = [len(x) for x in got]
         out = np.empty(counts.sum(), np.uint32)
         mine = np.zeros(len(out), bool)

@@ -54,6 +54,56 @@ def test_token_counts_are_the_library_s(docs, no_docs, texts):
     assert token_counts(no_docs, JSON, 512).count() == 0
 
 
+def test_texts_cut_into_parts_have_the_library_s_tokens(monkeypatch):
+    import random
+
+    import pyarrow as pa
+
+    from skein.llm import pieces
+    from skein.llm.bpe import pair_encoder
+    from skein.llm.token_counts import library_encoder
+
+    monkeypatch.setattr(pieces, "PART", 7)  # cut wherever it is safe
+    r = random.Random(6)
+    bits = ["word", "don't", " ", "  ", "\t", "\n", "\r\n", "12", "3,4", "é", "日本", "½", "\u00a0", "\x1c", "\x85", "\u3000", "'s", "'", "!?", "a b", "𝔘", "\u0301", "\u200b", "_", "x y z"]
+    texts = ["".join(r.choice(bits) for _ in range(r.randint(0, 60))) for _ in range(1500)]
+    library = Tokenizer.from_file(JSON)
+    plain = tiktoken.Encoding("t", pat_str=public_tokenizers.PATTERN, mergeable_ranks=read_ranks(RANKS), special_tokens={})
+    for encoder, ids_of in ((library_encoder(JSON), lambda t: library.encode(t, add_special_tokens=False).ids), (pair_encoder(RANKS, public_tokenizers.PATTERN)[0], plain.encode_ordinary)):
+        ids, counts = encoder.encode(pa.array(texts))
+        ends = np.cumsum(counts)
+        for t, end, n in zip(texts, ends.tolist(), counts.tolist()):
+            assert ids[end - n : end].tolist() == ids_of(t), repr(t)
+    assert len(list(pieces.parts_of("one two three four\t five six"))) == 3
+
+
+def test_repeated_rows_and_rows_without_ids_are_encoded_each_on_its_own(spark, make):
+    rows = [(1, "a b"), (1, "a b"), (1, "c"), (None, "d e f"), (None, "d e f"), (None, None), (2, "")]
+    table = spark.createDataFrame([(*x, "k", 7) for x in rows], "doc_id long, text string, ids string, n_tokens int").repartition(3)
+    library = Tokenizer.from_file(JSON)
+    n = lambda t: len(library.encode(t or "", add_special_tokens=False).ids)
+    expect = sorted(((i, n(t)) for i, t in rows), key=str)
+    assert sorted(((r.doc_id, r.n_tokens) for r in token_counts(table, JSON, 512).collect()), key=str) == expect
+    assert sorted(((r.doc_id, r.n_tokens) for r in bpe_round_trip(table, RANKS, public_tokenizers.PATTERN).collect()), key=str) == expect
+    stored = token_store.store_round_trip(table, JSON, 2).collect()
+    assert sorted(((r.doc_id, r.n_tokens - 1) for r in stored), key=str) == expect
+    at = 0
+    for r in sorted(stored, key=lambda r: r.start):
+        assert r.start == at
+        at += r.n_tokens
+
+
+def test_repeated_documents_and_items_of_a_benchmark(spark, make):
+    leak = make(77, 40)
+    rows = [(1, "x " + leak), (1, "x " + leak), (1, make(78, 60)), (None, leak), (None, leak), (None, make(79, 60)), (2, None)]
+    docs = spark.createDataFrame([(*x, "i", 0.5) for x in rows], "doc_id long, text string, item_id string, score double").repartition(2)
+    bench = spark.createDataFrame([(5, leak), (5, leak), (None, leak), (None, None)], "item_id long, text string")
+    got = Counter((r.doc_id, r.item_id) for r in contaminated(docs, bench).collect())
+    assert got == {(1, 5): 4, (1, None): 2, (None, 5): 4, (None, None): 2}
+    assert sorted((r.doc_id, r.text) for r in drop_contaminated(docs, bench).where("text is not null and doc_id is not null").collect()) == [(1, make(78, 60))]
+    assert drop_contaminated(docs, bench).count() == 3 and drop_contaminated(docs, bench.where("1 = 0")).count() == 7
+
+
 def test_token_counts_of_a_sentencepiece_model(docs, texts):
     model = sentencepiece.SentencePieceProcessor(model_file=MODEL)
     got = by_id(token_counts(docs, MODEL, 512), "n_tokens")
