@@ -88,7 +88,7 @@ def export(log: Log, out: str, project: str = "", tools: bool = False, raw: bool
     """Write the archive; returns its manifest."""
     chosen = log.sessions.where(matches_project(F.col("cwd"), project))
     if chosen.isEmpty():
-        raise SkeinError("NO_PROJECT_MATCH", f"No sessions matched the project filter: {project}")
+        raise SkeinError("NO_PROJECT_MATCH", f"There is no session of a project like {project}")
     # Every later step reads these rows; seq must be the same in all.
     rows = materialise(with_stats(archive.with_paths(chosen, readable, raw, F.lit(datetime.now())), log.events), "rows")
     archive.write_texts(archive.transcripts(rows, log.events, redacted, tools), out, "markdown_file", "markdown")
@@ -128,7 +128,7 @@ def _run(args: dict, spark: SparkSession | None) -> None:
     base = str(Path.home() / "Documents") if is_inside(os.getcwd(), tool) else os.getcwd()
     out = str(args.get("out") or f"{base}/{'chat-archive' if readable else 'ca'}-{datetime.now():%Y%m%d-%H%M%S}")
     if not reporting and not args.get("allow-output-in-tool-dir") and "://" not in out and is_inside(out, tool):
-        raise SkeinError("OUTPUT_IN_TOOL_DIR", f"Refusing to export into the program's folder: {out}")
+        raise SkeinError("OUTPUT_IN_TOOL_DIR", f"An export may not go below the program itself: {out}")
     spark = spark or SparkSession.builder.appName("skein").getOrCreate()
     redacted = not args.get("no-redact-markdown")
     roots = Roots.resolve(args.get("home", ""), args.get("sessions-dir", ""), args.get("archived-dir", ""), args.get("session-index", ""), not args.get("no-archived"))

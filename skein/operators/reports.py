@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from skein.functions.text import base_name, first_known, matches_terms, search_blob, text, without_extension
 from skein.operators.sessions import unicode
 
+# What the report says of a file.
+NO_META, NO_ID, NO_CWD, NO_TITLE = "no session_meta record found", "no session ID", "no stored cwd/project", "no title or first user message"
+INVALID_LINES, OTHER_ID = " invalid JSON line(s)", "filename ID differs from session_meta ID "
+
 _active = lambda: F.count_if(F.col("storage") != "archived")
 _archived = lambda: F.count_if(F.col("storage") == "archived")
 
@@ -56,8 +60,8 @@ def storage_diagnostics(records: DataFrame, sessions: DataFrame) -> DataFrame:
 def file_diagnostics(records: DataFrame) -> DataFrame:
     """storage, file, problems, id, id_source, cwd, path of the files that need attention, before duplicates go."""
     problems = [
-        F.when(~F.col("has_meta"), "no session_meta record found"), F.when(F.col("id") == "", "no session ID"), F.when(F.col("cwd") == "", "no stored cwd/project"), F.when(F.col("title") == "", "no title or first user message"),
-        F.when(F.col("invalid_lines") > 0, F.concat(F.col("invalid_lines").cast("string"), F.lit(" invalid JSON line(s)"))), F.when(F.col("id_mismatch"), F.concat(F.lit("filename ID differs from session_meta ID "), "metadata_id")),
+        F.when(~F.col("has_meta"), NO_META), F.when(F.col("id") == "", NO_ID), F.when(F.col("cwd") == "", NO_CWD), F.when(F.col("title") == "", NO_TITLE),
+        F.when(F.col("invalid_lines") > 0, F.concat(F.col("invalid_lines").cast("string"), F.lit(INVALID_LINES))), F.when(F.col("id_mismatch"), F.concat(F.lit(OTHER_ID), "metadata_id")),
     ]
     told = records.select("storage", base_name(F.col("path")).alias("file"), F.concat_ws("; ", *problems).alias("problems"), "id", "id_source", "cwd", "path")
     return told.where("problems <> ''")

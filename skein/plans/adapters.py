@@ -57,15 +57,18 @@ def conversation_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return materialise(events(conversation_lines(spark, sf_dir)), "events")
 
 
+def conversation_records(spark: SparkSession, sf_dir: str, said: DataFrame | None = None) -> DataFrame:
+    return session_fold(conversation_events(spark, sf_dir) if said is None else said, conversation_files(spark, sf_dir))
+
+
 def untitled_sessions(spark: SparkSession, sf_dir: str, said: DataFrame | None = None) -> DataFrame:
-    """The sessions without titles, which most reports have no use for."""
-    said = conversation_events(spark, sf_dir) if said is None else said
-    return dedup(session_fold(said, conversation_files(spark, sf_dir)))
+    """The sessions without titles and the texts they come from, which most reports have no use for."""
+    return dedup(conversation_records(spark, sf_dir, said).drop("first_text"))
 
 
 def conversation_sessions(spark: SparkSession, sf_dir: str, said: DataFrame | None = None) -> DataFrame:
     """The sessions; only those that dedup keeps get titles."""
-    return with_titles(untitled_sessions(spark, sf_dir, said), conversation_index(spark, sf_dir))
+    return with_titles(dedup(conversation_records(spark, sf_dir, said)), conversation_index(spark, sf_dir))
 
 
 # An event table as the events of sessions, one for each user; in both dialects.
