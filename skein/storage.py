@@ -10,7 +10,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _made: list[tuple[SparkSession, str]] = []
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: While a table is written: its shuffle files leave the disks as soon as it is there, since it is run once; and batches of rows for
+#: Python are small, since rows may hold long texts.
+_WHILE_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "2000"}
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -37,13 +39,14 @@ def materialise(df: DataFrame, name: str, by: tuple[str, ...] = ()) -> DataFrame
     """Write df as Parquet in the shared folder, in folders by the columns `by`, and read it back: a lost executor costs no recomputation."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    # df is run once, here: its shuffle files leave the disks as soon as the table is written.
-    before = spark.conf.get(_CLEANUP, None)
-    spark.conf.set(_CLEANUP, "true")
+    before = {name: spark.conf.get(name, None) for name in _WHILE_WRITING}
+    for name, value in _WHILE_WRITING.items():
+        spark.conf.set(name, value)
     try:
         df.write.parquet(path, partitionBy=list(by) or None)
     finally:
-        spark.conf.set(_CLEANUP, before) if before is not None else spark.conf.unset(_CLEANUP)
+        for name, value in before.items():
+            spark.conf.set(name, value) if value is not None else spark.conf.unset(name)
     back = spark.read.schema(df.schema).parquet(path).select(df.columns)
     back._skein_path = path
     return back
