@@ -54,7 +54,7 @@ HALF = REACH // 2
 BEHIND = LENGTH - HALF
 #: Batches of a whole table, bytes of text that a worker handles at once, bytes of text for each part of the order, bytes of text whose
 #: anchors place the parts' bounds, and entries that share half a context from which they are compared by aggregates.
-BATCHES, BATCH_BYTES, PART_BYTES, SAMPLE_BYTES, CROWD = 8, 2 << 20, 48 << 20, 16 << 20, 20_000
+BATCHES, BATCH_BYTES, PART_BYTES, SAMPLE_BYTES, CROWD = 8, 1 << 19, 48 << 20, 16 << 20, 20_000
 _U = np.uint64
 _TABLE = mix(np.arange(1, 257, dtype=np.uint64) * _U(0x9E3779B97F4A7C15))
 _BASE = 0x9DDFEA08EB382D69  # odd, so it has an inverse
@@ -454,6 +454,8 @@ def settled_halves(rows: DataFrame, contested: DataFrame, parts: int, crowd: int
 
     fetched = rows.join(places, "doc").select("doc", "text", "pos", "name", "right").mapInArrow(fetch, "name long, doc long, begin long, anchor long, data binary")
     busy = not crowded.isEmpty()
+    if busy:  # two ways lead on from here
+        fetched = materialise(fetched, "stretches")
     few = (fetched.join(crowded, "name", "left_anti") if busy else fetched).repartition("name").sortWithinPartitions("name")
 
     def spans(found: list[tuple[int, int, int]]) -> Iterator[pa.RecordBatch]:
