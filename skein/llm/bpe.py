@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 
 from skein.llm.pieces import PieceEncoder, balanced
 
-#: Pairs of tokens remembered by a worker.
-MEMO_PAIRS = 1 << 18
+#: Pairs of tokens remembered by a worker, and bytes of text that it handles at once.
+MEMO_PAIRS, BATCH_BYTES = 1 << 18, 2 << 20
 
 
 class BytePairs:
@@ -130,7 +130,7 @@ def bpe_round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_
     def digests(batches):
         encoder, pairs, decimal = pair_encoder(path, pattern)
         sha = lambda x: hashlib.sha256(x).hexdigest()
-        for batch in balanced(batches, "text"):
+        for batch in balanced(batches, "text", BATCH_BYTES):
             ids, counts = encoder.encode(batch.column("text"))
             ends = np.cumsum(counts)
             coded, decoded = [], []
@@ -149,7 +149,7 @@ def bpe_ids(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", te
 
     def encode(batches):
         encoder, _, _ = pair_encoder(path, pattern)
-        for batch in balanced(batches, "text"):
+        for batch in balanced(batches, "text", BATCH_BYTES):
             ids, counts = encoder.encode(batch.column("text"))
             offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids.astype(np.int32)))], ["doc_id", "ids"])

@@ -22,7 +22,9 @@ import regex
 _ODD_SPACE = r"\t\x0b\x0c\r\x1c-\x1f\x{85}\x{A0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 _NOT_PLAIN = rf"^[ \n]|[ \n][ \n]|[ \n]$|[{_ODD_SPACE}]"
 #: Bytes of text handled at once, a cache's most entries, and characters after which a text with odd white space is cut.
-BATCH_BYTES, CACHE_ENTRIES, PART = 2 << 20, 300_000, 1 << 16
+BATCH_BYTES, CACHE_ENTRIES, PART = 4 << 20, 300_000, 1 << 16
+#: Words with a space in front that are remembered, in arrays of some thirty bytes a word.
+SPACED_ENTRIES = 800_000
 #: A pre-token begins at such a space, whatever stands around it.
 _SAFE = regex.compile(r"(?<=[\p{L}\p{N}!-~]) (?=[\p{L}\p{N}!-~])")
 
@@ -45,6 +47,7 @@ def release() -> None:
     for encoder in _encoders:
         encoder.words.clear()
         encoder.pieces.clear()
+        encoder.spaced = None
         encoder.forget()
 
 
@@ -53,13 +56,15 @@ class PieceEncoder:
 
     pattern splits text into pre-tokens. specials are strings that encode_text, and it alone, may treat as one token:
     a text that holds one goes to encode_text whole. Ids are kept as the bytes of unsigned 32-bit integers, which is what
-    encode_words returns.
+    encode_words returns. encode_spaced, if there is one, gives the ids of pieces with a space in front of each, all in a row,
+    and how many each has, or None where it cannot tell them apart.
     """
 
-    def __init__(self, pattern: str, encode_words: Callable[[list[str]], list[bytes]], specials: tuple[str, ...] = (), encode_text: Callable[[str], list[int]] | None = None, forget: Callable[[], None] = lambda: None):
+    def __init__(self, pattern: str, encode_words: Callable[[list[str]], list[bytes]], specials: tuple[str, ...] = (), encode_text: Callable[[str], list[int]] | None = None, forget: Callable[[], None] = lambda: None, encode_spaced: Callable[[list[str]], tuple[np.ndarray, np.ndarray] | None] | None = None):
         self.find = regex.compile(pattern).findall
         self.encode_words, self.specials, self.encode_text = encode_words, specials, encode_text
-        self.forget = forget
+        self.forget, self.encode_spaced = forget, encode_spaced
+        self.spaced: tuple[pa.Array, np.ndarray, np.ndarray] | None = None
         _encoders.add(self)
         self.words: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
@@ -93,16 +98,70 @@ class PieceEncoder:
             known.update(zip(new, self._of_words([self._split(p) for p in new]), strict=True))
         return [known[p] for p in pieces]
 
+    def _known(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+        """Ids of different words with a space in front, among others; how many each has and where they begin. Only new ones go to the library."""
+        if self.spaced is None:
+            self.spaced = words.slice(0, 0), np.empty(0, np.uint32), np.empty(0, np.int64)
+        known, flat, counts = self.spaced
+        at = pc.index_in(words, value_set=known)
+        fresh = at.is_null()
+        new = words.filter(fresh)
+        if (got := self.encode_spaced(new.to_pylist())) is None:
+            return None
+        flat, counts = np.concatenate([flat, got[0]]), np.concatenate([counts, got[1]])
+        place = np.empty(len(words), np.int64)
+        fresh = fresh.to_numpy(zero_copy_only=False)
+        place[~fresh] = at.drop_null().to_numpy()
+        place[fresh] = len(known) + np.arange(len(new))
+        first = np.cumsum(counts) - counts
+        # Too many are forgotten all at once.
+        self.spaced = (pa.concat_arrays([known, new]), flat, counts) if len(counts) <= SPACED_ENTRIES else None
+        return flat, counts[place], first[place]
+
+    def _spaced(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray] | None:
+        """Ids of pieces with a space in front of each, all in a row, and how many each has. Signs behind words are set apart first,
+        so that the library sees a word once."""
+        signed = pc.match_substring_regex(pieces, r"^\p{L}+[.,;:!?]$")
+        words = pc.if_else(signed, pc.utf8_slice_codeunits(pieces, 0, -1), pieces).dictionary_encode()
+        if (got := self._known(words.dictionary)) is None:
+            return None
+        flat, counts, first = got
+        index, signed = words.indices.to_numpy(zero_copy_only=False), signed.to_numpy(zero_copy_only=False)
+        n, begins = counts[index], first[index]
+        ends = np.cumsum(n + signed)  # of the pieces in the result
+        at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        out = np.empty(ends[-1] if len(ends) else 0, np.uint32)
+        out[np.repeat(ends - n - signed, n) + at] = flat[np.repeat(begins, n) + at]
+        sign = pc.utf8_slice_codeunits(pieces.filter(pa.array(signed)), -1).dictionary_encode()
+        ids = self._of_words([[s] for s in sign.dictionary.to_pylist()])
+        if any(len(x) != 4 for x in ids):
+            return None
+        out[ends[signed] - 1] = np.frombuffer(b"".join(ids), np.uint32)[sign.indices.to_numpy(zero_copy_only=False)]
+        return out, n + signed
+
+    def _distinct(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of different pieces in some order, how many each has and where they begin."""
+        sizes, starts = np.zeros(len(pieces), np.int64), np.zeros(len(pieces), np.int64)
+        rest, flat = np.arange(len(pieces)), np.empty(0, np.uint32)
+        if self.encode_spaced:
+            led = pc.starts_with(pieces, "\n").to_numpy(zero_copy_only=False)
+            own = np.flatnonzero(~led)
+            if (got := self._spaced(pieces.take(pa.array(own)))) is not None:
+                flat, sizes[own] = got
+                starts[own] = np.cumsum(sizes[own]) - sizes[own]
+                rest = np.flatnonzero(led)
+        ids = self._of_pieces(pieces.take(pa.array(rest)).to_pylist())
+        sizes[rest] = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        starts[rest] = len(flat) + np.cumsum(sizes[rest]) - sizes[rest]
+        return np.concatenate([flat, np.frombuffer(b"".join(ids), np.uint32)]), sizes, starts
+
     def _plain(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids and counts of texts without odd white space. Each gets a newline in front, whose tokens are dropped."""
         marked = pc.binary_join_element_wise(pa.scalar("\n", texts.type), pc.replace_substring(texts, "\n", " \n"), pa.scalar("", texts.type))
         lists = pc.split_pattern(marked, " ")
         coded = lists.flatten().dictionary_encode()
-        ids = self._of_pieces(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        flat, sizes, starts = self._distinct(coded.dictionary)
         index = coded.indices.to_numpy(zero_copy_only=False)
-        flat = np.frombuffer(b"".join(ids), np.uint32)
-        starts = np.cumsum(sizes) - sizes
         bounds = lists.offsets.to_numpy(zero_copy_only=False).astype(np.int64)
         bounds = bounds - bounds[0]
         n = sizes[index]

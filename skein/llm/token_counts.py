@@ -76,12 +76,19 @@ def library_encoder(path: str) -> PieceEncoder | WholeTexts:
         out.update(zip(rest, [np.array(x, np.uint32).tobytes() for x in ids(rest)], strict=True))
         return [out[w] for w in new]
 
+    def spaced(pieces: list[str]) -> tuple[np.ndarray, np.ndarray] | None:
+        """Pieces without a space go to the library in long texts, a space before each; the tokens that begin with one tell them apart."""
+        texts = [" " + " ".join(pieces[k : k + JOINED]) for k in range(0, len(pieces), JOINED)]
+        flat = np.concatenate([np.empty(0, np.uint32), *(np.array(x, np.uint32) for x in ids(texts))])
+        firsts = np.flatnonzero(begins[flat])
+        return (flat, np.diff(np.append(firsts, len(flat)))) if len(firsts) == len(pieces) else None
+
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
     split = spec.get("pre_tokenizer") or {}
     if spec.get("normalizer") or split.get("type") != "ByteLevel" or not split.get("use_regex") or split.get("add_prefix_space"):
         return WholeTexts(ids)
-    return PieceEncoder(BYTE_LEVEL, words, tuple(x["content"] for x in spec["added_tokens"]), lambda text: ids([text])[0])
+    return PieceEncoder(BYTE_LEVEL, words, tuple(x["content"] for x in spec["added_tokens"]), lambda text: ids([text])[0], encode_spaced=spaced)
 
 
 def token_counts(docs: DataFrame, path: str, limit: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
