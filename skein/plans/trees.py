@@ -15,7 +15,7 @@ from skein.operators.events import events
 from skein.operators.sessions import dedup, export_order, numbered
 from skein.plans import adapters as a
 from skein.plans.adapters import read
-from skein.plans.catalog import CELL_SQL, FOLD, HTML_SQL, SESSIONS, SESSION_OUT, event_records, query, transcript_sql
+from skein.plans.catalog import CELL_SQL, FOLD, HTML_SQL, SESSIONS, event_records, query, transcript_sql
 from skein.sources.files import file_system
 from skein.sources.logs import Roots, list_files, read_lines
 from skein.storage import materialise, new_path

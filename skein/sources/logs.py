@@ -23,7 +23,6 @@ from skein.operators.events import parsed, string_at
 from skein.sources.files import file_system
 from skein.storage import materialise
 
-FILES = "path string, storage string, size long, modified string"
 LINES = "path string, storage string, n long, raw string"
 #: Splits, of a hundred bytes each, that are broadcast at most; a hundred terabytes of logs have about as many.
 MOST_SPLITS = 1_000_000
