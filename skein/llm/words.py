@@ -21,10 +21,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(33))
 
 
-def split_words(text: str) -> list[str]:
-    return WORD.findall(text.lower())
-
-
 def word_hashes(texts: Iterable[str]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words of all texts in a row, and where each text's begin (one more entry: the end)."""
     flat: list[int] = []
