@@ -514,6 +514,7 @@ def repeated_spans(rows: DataFrame, batches: int = BATCHES, part_bytes: int = PA
     found = [entered.where(F.col("kind") == SPANS).drop("batch")]
     for k in range(len(cuts) + 1):
         found.append(levels.add(entered.where((F.col("kind") == ENTRIES) & (F.col("batch") == k)).select("number", "blob")))
+        remove(spark, f"{entered._skein_path}/kind={ENTRIES}/batch={k}")  # it stands in the levels now
     everything = reduce(DataFrame.unionByName, found)
     halves = settled_halves(rows, everything.where(F.col("kind") == HALVES), levels.parts, crowd)
     spans = everything.where(F.col("kind") == SPANS).unionByName(halves)
