@@ -20,13 +20,14 @@ from functools import lru_cache
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skein.llm.pieces import PieceEncoder, balanced
 
 #: Pairs of tokens remembered by a worker, and bytes of text that it handles at once.
-MEMO_PAIRS, BATCH_BYTES = 1 << 18, 2 << 20
+MEMO_PAIRS, BATCH_BYTES = 1 << 17, 2 << 20
 
 
 class BytePairs:
@@ -121,7 +122,18 @@ def pair_encoder(path: str, pattern: str) -> tuple[PieceEncoder, BytePairs, dict
     """The encoder of a rank file. One for each worker process."""
     pairs = BytePairs(read_ranks(path))
     words = lambda new: [array("I", pairs.encode(w.encode())).tobytes() for w in new]
-    return PieceEncoder(pattern, words, forget=pairs.pair.cache_clear), pairs, {r: str(r) for r in pairs.token}
+    split = regex.compile(pattern).findall
+
+    def spaced(pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        flat, counts = array("I"), []
+        for piece in pieces:
+            before = len(flat)
+            for word in [" " + piece] if piece.isalpha() else split(" " + piece):
+                flat.extend(pairs.encode(word.encode()))
+            counts.append(len(flat) - before)
+        return np.frombuffer(flat, np.uint32) if flat else np.empty(0, np.uint32), np.array(counts, np.int64)
+
+    return PieceEncoder(pattern, words, forget=pairs.pair.cache_clear, encode_spaced=spaced), pairs, {r: str(r) for r in pairs.token}
 
 
 def bpe_round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

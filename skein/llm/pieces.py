@@ -22,9 +22,9 @@ import regex
 _ODD_SPACE = r"\t\x0b\x0c\r\x1c-\x1f\x{85}\x{A0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 _NOT_PLAIN = rf"^[ \n]|[ \n][ \n]|[ \n]$|[{_ODD_SPACE}]"
 #: Bytes of text handled at once, a cache's most entries, and characters after which a text with odd white space is cut.
-BATCH_BYTES, CACHE_ENTRIES, PART = 4 << 20, 300_000, 1 << 16
+BATCH_BYTES, CACHE_ENTRIES, PART = 4 << 20, 100_000, 1 << 16
 #: Words with a space in front that are remembered, in arrays of some thirty bytes a word.
-SPACED_ENTRIES = 800_000
+SPACED_ENTRIES = 400_000
 #: A pre-token begins at such a space, whatever stands around it.
 _SAFE = regex.compile(r"(?<=[\p{L}\p{N}!-~]) (?=[\p{L}\p{N}!-~])")
 
