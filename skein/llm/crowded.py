@@ -115,14 +115,16 @@ def thinned(crowds: DataFrame, features: DataFrame, least: float, most: int) ->
 
 def stars(near: DataFrame) -> DataFrame:
     """Pairs (a, b) of each reference's nearest member and the others near it."""
-    first = near.groupBy("ref").agg(F.min_by("node", F.struct(F.col("a") + F.col("b"), "node")).alias("hub"))
+    # Written, so that a reference that a third of all nodes stand near is joined by a broadcast or in split partitions.
+    first = materialise(near.groupBy("ref").agg(F.min_by("node", F.struct(F.col("a") + F.col("b"), "node")).alias("hub")), "hubs")
     return near.join(first, "ref").where("node <> hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
 
 
 def left_over(near: DataFrame, classes: DataFrame, least: float) -> DataFrame:
     """Pairs (a, b) near one reference and of different classes that could be alike without a common shingle outside it."""
-    rows = near.join(classes, "node", "left").withColumn("class", F.coalesce("class", "node"))
+    rows = materialise(near.join(classes, "node", "left").withColumn("class", F.coalesce("class", "node")), "near")
     main = rows.groupBy("ref", "class").agg(F.count("*").alias("k")).groupBy("ref").agg(F.max_by("class", F.struct("k", "class")).alias("main"))
+    main = materialise(main, "mains")
     x = rows.join(main, "ref").where("class <> main").select("ref", *(F.col(c).alias(f"x_{c}") for c in ("node", "class", "a", "b", "o", "unit", "r")))
     y = rows.select("ref", *(F.col(c).alias(f"y_{c}") for c in ("node", "class", "a", "b", "o", "unit")))
     by_sets = f"{1 + least} * least(x_a, y_a) + {_EPSILON} >= x_a + {least} * x_b + y_a + {least} * y_b - {1 - least} * x_r"
