@@ -233,3 +233,15 @@ def test_weights_learned_in_landmarks_hold_where_there_are_none(spark):
 def test_what_blocks_are_like():
     got = [like for _, like, _ in described("<h2>One two</h2><p>A sentence.</p><ul><li><a href=x>link</a> is</ul><article><p><a href=x>abc</a></p></article>")]
     assert got == [(1.0, 0.2, 0.0, 0.0, 0.0, 1.0, 0.0), (1.0, 0.2, 1.0, 0.0, 0.0, 0.0, 0.0), (1.0, 0.2, 0.0, pytest.approx(4 / 7), 0.0, 0.0, 1.0), (1.0, 0.1, 0.0, 0.0, 1.0, 0.0, 0.0)]
+
+
+def test_the_sample_is_the_pages_of_smallest_hash(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from skein.llm import html_extract
+
+    monkeypatch.setattr(html_extract, "PAGES", 10)
+    r = random.Random(6)
+    table = spark.createDataFrame([(k, page(r, True)[0]) for k in range(300)], "page_id long, html string").repartition(4)
+    ordered = table.select("html", F.xxhash64("page_id", "html").alias("h")).orderBy("h", "html").collect()
+    assert train(table) == pytest.approx(fit(x.html for x in ordered[:10]))
